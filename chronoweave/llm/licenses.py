@@ -24,7 +24,7 @@ SPELLINGS = {
     "favourite": "favorite", "fulfilment": "fulfillment", "initialise": "initialize", "judgement": "judgment", "labelling": "labeling",
     "labour": "labor", "licence": "license", "licences": "licenses", "licenced": "licensed", "maximise": "maximize", "modelled": "modeled",
     "offence": "offense", "optimise": "optimize", "organisation": "organization", "organise": "organize", "practise": "practice",
-    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization",
+    "programme": "program", "realise": "realize", "recognise": "recognize", "signalling": "signaling", "sublicence": "sublicense", "utilisation": "utilization",
     "whilst": "while", "wilful": "willful", "noncommercial": "non commercial",
 }
 #: Licence notices and short licences, by SPDX identifier.

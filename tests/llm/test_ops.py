@@ -154,7 +154,7 @@ def test_transport_streams(texts):
         got = media_ts.demux(stored)
         assert got.payload == payload and got.continuity_errors == 0 and got.program == 1 and len(payload) % 576 == 0 and payload
         assert got.pts == [6480 * 8 * i for i in range(len(got.pts))] and len(got.random_access) == len(got.pts)
-    assert media_ts.demux(stored[:376] + stored[564:]).continuity_errors == 1
+    assert media_ts.demux(stored[:940] + stored[1128:]).continuity_errors == 1
 
 
 def test_licenses(spark, docs):
