@@ -18,19 +18,27 @@ id and text columns are read, so others may have any name.
 from __future__ import annotations
 
 import bisect
+import json
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import map_arrow, materialise
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
+#: Runs in one generation of a worker's memory.
 REMEMBERED = 400_000
+#: Latin letters and signs, no controls: on them all versions of Unicode agree what is a letter or a space.
+LAST_LATIN = 0x24F
+LATIN = regex.compile(f"[\x20-\x7e\xa1-{chr(LAST_LATIN)}]*")
+#: White space inside runs, which normalising would turn into a cut or drop.
+INNER_SPACE = regex.compile(r"[^\S\x20]")
 #: Parts into which every length class is dealt for ranking.
 DEALT = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -47,26 +55,75 @@ class WordTokenizer:
 
     The vocabulary's pre-tokenizer drops white space and never joins across it,
     so a text's ids are its runs' ids in order; a run is tokenized once and then
-    remembered as little-endian unsigned 32-bit ids.
+    remembered as little-endian unsigned 32-bit ids. Memories have two
+    generations: a full one becomes the older, and runs met again come back.
+
+    Where the vocabulary is a byte-level BPE over the matches of a pattern, runs
+    of Latin letters are cut by that pattern here and only unseen matches go to
+    the BPE; any other run, or one that holds an added token, is encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.pattern = self._pattern()
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(LAST_LATIN + 1)}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _pattern(self) -> regex.Pattern | None:
+        """The pattern of matches that the BPE gets one by one, if the vocabulary is of that form."""
+        form = json.loads(self.tokenizer.to_str())
+        steps = (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if form["model"]["type"] != "BPE" or not form.get("normalizer") or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
+            return None
+        cut, level = steps
+        if (cut["behavior"], cut["invert"]) != ("Removed", True) or "Regex" not in cut["pattern"] or level["use_regex"] or level["add_prefix_space"]:
+            return None
+        return regex.compile(cut["pattern"]["Regex"])
+
+    def _of_match(self, match: str) -> bytes:
+        if len(self.matches) > REMEMBERED:
+            self.matches.clear()
+        tokens = self.model.tokenize(match.translate(self.as_bytes))
+        ids = self.matches[match] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return ids
+
+    def _learn(self, new: list[bytes]) -> None:
+        runs = [r.decode() for r in new]
+        joined = " ".join(runs)
+        quick = self.pattern is not None and not INNER_SPACE.search(joined)
+        normal = self.tokenizer.normalizer.normalize_str(joined) if quick else ""
+        plain = normal.split(" ")
+        whole: Iterable[int] = range(len(runs))
+        if quick and len(plain) == len(runs):
+            odd = lambda run, text: not LATIN.fullmatch(text) or any(a in run or a in text for a in self.added)
+            whole = [i for i, (run, text) in enumerate(zip(runs, plain, strict=True)) if odd(run, text)] if odd(joined, normal) else []
+            known, matches, find, skip = self.known, self.matches, self.pattern.findall, set(whole)
+            for i, text in enumerate(plain):
+                if i not in skip:
+                    known[new[i]] = b"".join([matches.get(m) or self._of_match(m) for m in find(text)])
+        if whole:
+            for i, e in zip(whole, self.tokenizer.encode_batch_fast([runs[i] for i in whole], add_special_tokens=False), strict=True):
+                self.known[new[i]] = np.array(e.ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
         runs = text.encode().split()
-        known = self.known
+        known, older = self.known, self.older
         try:
             return b"".join([known[r] for r in runs])
         except KeyError:
             if len(known) > REMEMBERED:
-                known.clear()
-            new = [r for r in dict.fromkeys(runs) if r not in known]
-            for r, e in zip(new, self.tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False), strict=True):
-                known[r] = np.array(e.ids, "<u4").tobytes()
+                self.older, self.known = known, {}
+                known, older = self.known, self.older
+            missed = [r for r in dict.fromkeys(runs) if r not in known]
+            known.update((r, older[r]) for r in missed if r in older)
+            self._learn([r for r in missed if r not in older])
             return b"".join([known[r] for r in runs])
 
 
