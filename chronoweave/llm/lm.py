@@ -87,17 +87,12 @@ def slots(windows: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np
         yield b, node.astype(np.int64), bit.astype(bool), at
 
 
-def count_slots(windows: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots with their zeros and ones, of windows that occur so many times."""
-    keys, zeros, ones = [], [], []
+def add_slots(windows: np.ndarray, times: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+    """Add windows that occur so many times to the slots' zeros and ones."""
     for _, _, bit, at in slots(windows):
         for k in range(ORDERS):
-            order = np.argsort(at[k], kind="stable")
-            key = at[k][order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            one = np.where(bit, times, 0)[order]
-            keys.append(key[first]), ones.append(np.add.reduceat(one, first)), zeros.append(np.add.reduceat(times[order] - one, first))
-    return np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones)
+            np.add.at(zeros, at[k][~bit], times[~bit])
+            np.add.at(ones, at[k][bit], times[bit])
 
 
 def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -143,7 +138,7 @@ def fresh(table: np.ndarray) -> Model:
 
 def learn(zeros: np.ndarray, ones: np.ndarray, texts: list[bytes]) -> Model:
     """Weights and adaptive map by online steps over whole texts, which the slots' zeros and ones hold too."""
-    model = fresh(stretched(zeros, ones).astype(np.float32))
+    model = fresh(stretched(zeros, ones).astype(np.float32, copy=False))
     for text in texts:
         windows, _ = coded(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
         last = (windows >> np.uint64(8) & np.uint64(255)).astype(np.int64)
@@ -238,26 +233,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows with their numbers to a task's slots with zeros and ones."""
-    held: list[list[np.ndarray]] = [[], [], []]
-
-    def merged() -> list[np.ndarray]:
-        key, zeros, ones = (np.concatenate(x) for x in held)
-        order = np.argsort(key, kind="stable")
-        key, zeros, ones = key[order], zeros[order], ones[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        return [key[first], np.add.reduceat(zeros, first), np.add.reduceat(ones, first)]
-
+    """Windows with their numbers to a task's slots with zeros and ones, summed in two rows of all slots."""
+    zeros, ones = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
     for batch in batches:
-        if len(batch):
-            for x, y in zip(held, count_slots(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()), strict=True):
-                x.append(y)
-            if sum(map(len, held[0])) > 2 * _SLOTS:
-                held[:] = [[x] for x in merged()]
-    if held[0]:
-        key, zeros, ones = merged()
-        for i in range(0, len(key), 1 << 18):
-            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 18)].astype(np.int32)), *(pa.array(x[i : i + (1 << 18)].astype(np.int64)) for x in (zeros, ones))], names=["slot", "n", "m"])
+        windows, times = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        for i in range(0, len(windows), 1 << 15):
+            add_slots(windows[i : i + (1 << 15)], times[i : i + (1 << 15)], zeros, ones)
+    used = np.flatnonzero(zeros + ones)
+    for i in range(0, len(used), 1 << 18):
+        key = used[i : i + (1 << 18)]
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(zeros[key]), pa.array(ones[key])], names=["slot", "n", "m"])
 
 
 @dataclass
@@ -277,11 +262,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Trained:
     tokens = materialise(seen.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c")).select(F.col("key").alias("token"), "c"), "tokens")
     # windows meet by their last two context bytes, so that almost every slot is summed in one task
     windows = seen.filter("kind = 1").select("key", "n", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("by")).repartition("by").groupBy("by", "key").agg(F.sum("n").alias("n"))
-    counted = map_arrow(windows.select("key", "n"), _to_slots, "slot int, n long, m long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    counted = map_arrow(windows.select("key", "n"), _to_slots, "slot int, n long, m long").groupBy("slot").agg(F.sum("n").cast("float").alias("n"), F.sum("m").cast("float").alias("m"))
     table = counted.toArrow()  # at most one row per slot, whatever the corpus
-    zeros, ones = np.zeros(_SLOTS), np.zeros(_SLOTS)
-    at = table["slot"].to_numpy()
-    zeros[at], ones[at] = table["n"].to_numpy(), table["m"].to_numpy()
+    zeros, ones = np.zeros(_SLOTS, np.float32), np.zeros(_SLOTS, np.float32)
+    for batch in table.to_batches():
+        at = batch["slot"].to_numpy()
+        zeros[at], ones[at] = batch["n"].to_numpy(), batch["m"].to_numpy()
+    del table
     sums = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("token") == int(_END), F.col("c"))).alias("docs")).first()
     share = min(1.0, sample / sums["docs"]) if sums["docs"] else 0.0
     chosen = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
