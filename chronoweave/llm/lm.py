@@ -8,8 +8,8 @@ gates select, the bits so far and the last byte; the two sums are averaged,
 squashed, and refined by an adaptive map of (last byte, bits so far, quantised
 prediction). Bits per byte follow from the probabilities of all bits.
 
-Counters cover all texts learned from: partitions count six-byte windows, Spark
-adds them up by their contexts, and the sums become counts of fixed slots. Weights and the
+Counters cover all texts learned from: partitions count six-byte windows, which
+meet by their contexts and become counts of fixed slots. Weights and the
 adaptive map learn online, bit after bit in small steps, over a bounded sample of
 whole texts (SAMPLE), each with its own counts taken out, so that they learn what
 predictions are worth on unseen text. Then all is fixed, so that a score depends
@@ -42,6 +42,8 @@ from ._spark import id_crc, map_arrow, materialise
 #: Slots of the contexts of 1, 2, ... bytes, as powers of 2; rows of the mixer's sample; the head's tokens.
 SLOT_BITS, SAMPLE, HEAD = (16, 18, 20, 21, 22), 300, 1 << 18
 RATE, MAP_RATE, STEP, LEVELS, PRIOR = 0.005, 0.02, 256, 33, 0.1
+#: Sizes of work only, without effect on results: bytes of text at once, windows merged at once, windows of a stretch.
+_CHUNK, _BUFFER, _STRETCH = 1 << 19, 1 << 20, 64 * STEP
 ORDERS = len(SLOT_BITS)
 _BASE = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])  # all orders' slots stand in one row
 _SLOTS = int(_BASE[-1])
@@ -140,50 +142,56 @@ def learn(zeros: np.ndarray, ones: np.ndarray, texts: list[bytes]) -> Model:
     """Weights and adaptive map by online steps over whole texts, which the slots' zeros and ones hold too."""
     model = fresh(stretched(zeros, ones).astype(np.float32, copy=False))
     for text in texts:
-        windows, _ = coded(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        last = (windows >> np.uint64(8) & np.uint64(255)).astype(np.int64)
-        bits = list(slots(windows))
-        every = np.concatenate([at.ravel() for _, _, _, at in bits])
-        used, back = np.unique(every, return_inverse=True)
-        hot = np.concatenate([np.tile(bit, ORDERS) for _, _, bit, _ in bits])
-        own1 = np.bincount(back, weights=hot, minlength=len(used))
-        own0 = np.bincount(back, minlength=len(used)) - own1
-        known = stretched(np.maximum(zeros[used] - own0, 0), np.maximum(ones[used] - own1, 0))
-        inputs = np.moveaxis(known[back].reshape(8, ORDERS, -1), 0, 2)  # order, window, bit
-        node = np.stack([n for _, n, _, _ in bits], axis=1)
-        bit = np.stack([b for _, _, b, _ in bits], axis=1)
-        for i in range(0, len(windows), STEP):
-            x = inputs[:, i : i + STEP].reshape(ORDERS, -1)
-            n, y = node[i : i + STEP].ravel(), bit[i : i + STEP].ravel()
-            c = np.repeat(last[i : i + STEP], 8)
-            s = model.mixed(x, n, c)
-            wrong = y - 1 / (1 + np.exp(-s))
-            for k in range(ORDERS):
-                g = RATE * wrong * x[k]
-                for gate, at in ((model.gate1, n), (model.gate2, c)):
-                    gate[:, k] += np.bincount(at, weights=g, minlength=256) / np.sqrt(np.maximum(1, np.bincount(at, minlength=256)))
-            _, cell, part = model.refined(s, n, c)
-            for at, share in ((cell, 1 - part), (cell + 1, part)):
-                model.refine[at] += MAP_RATE * share * (y - model.refine[at])
+        whole, _ = coded(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        own, times = np.unique(whole, return_counts=True)
+        for sign in (-1, 1):  # its own counts out, and in again behind it
+            for i in range(0, len(own), _STRETCH):
+                add_slots(own[i : i + _STRETCH], sign * times[i : i + _STRETCH], zeros, ones)
+            if sign < 0:
+                for i in range(0, len(whole), _STRETCH):
+                    _step(model, whole[i : i + _STRETCH], zeros, ones)
     np.clip(model.refine, 1e-5, 1 - 1e-5, out=model.refine)
     return model
 
 
+def _step(model: Model, windows: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+    """Online steps over a stretch of a text, whose own counts are out of the slots."""
+    last = (windows >> np.uint64(8) & np.uint64(255)).astype(np.int64)
+    bits = list(slots(windows))
+    known = [stretched(np.maximum(zeros[at], 0).astype(np.float64), np.maximum(ones[at], 0)) for _, _, _, at in bits]
+    inputs = np.moveaxis(np.stack(known), 0, 2)  # order, window, bit
+    node = np.stack([n for _, n, _, _ in bits], axis=1)
+    bit = np.stack([b for _, _, b, _ in bits], axis=1)
+    for i in range(0, len(windows), STEP):
+        x = inputs[:, i : i + STEP].reshape(ORDERS, -1)
+        n, y = node[i : i + STEP].ravel(), bit[i : i + STEP].ravel()
+        c = np.repeat(last[i : i + STEP], 8)
+        s = model.mixed(x, n, c)
+        wrong = y - 1 / (1 + np.exp(-s))
+        for k in range(ORDERS):
+            g = RATE * wrong * x[k]
+            for gate, at in ((model.gate1, n), (model.gate2, c)):
+                gate[:, k] += np.bincount(at, weights=g, minlength=256) / np.sqrt(np.maximum(1, np.bincount(at, minlength=256)))
+        _, cell, part = model.refined(s, n, c)
+        for at, share in ((cell, 1 - part), (cell + 1, part)):
+            model.refine[at] += MAP_RATE * share * (y - model.refine[at])
+
+
 class _Memory:
     """Costs by window in a table with one place for each hash; a newcomer takes the place."""
 
     def __init__(self, model: Model):
         self.model = model
         self.windows = np.full(1 << _REMEMBER, np.iinfo(np.uint64).max, np.uint64)
-        self.costs = np.zeros(1 << _REMEMBER)
+        self.costs = np.zeros(1 << _REMEMBER, np.float32)
 
     def of(self, windows: np.ndarray) -> np.ndarray:
         at = (windows * _NODE >> np.uint64(64 - _REMEMBER)).astype(np.int64)
-        out = self.costs[at]
+        out = self.costs[at].astype(np.float64)
         missed = np.flatnonzero(self.windows[at] != windows)
         if len(missed):
             new, back = np.unique(windows[missed], return_inverse=True)
-            cost = np.concatenate([self.model.costs(new[i : i + 65536]) for i in range(0, len(new), 65536)])
+            cost = np.concatenate([self.model.costs(new[i : i + 16384]).astype(np.float32) for i in range(0, len(new), 16384)])
             out[missed] = cost[back]
             at = (new * _NODE >> np.uint64(64 - _REMEMBER)).astype(np.int64)
             self.windows[at], self.costs[at] = new, cost
@@ -192,6 +200,7 @@ class _Memory:
 
 def _merge(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, t = np.concatenate(keys), np.concatenate(times)
+    keys.clear(), times.clear()
     order = np.argsort(k, kind="stable")
     k, t = k[order], t[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
@@ -208,20 +217,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, n = np.unique(values, return_counts=True)
         keys.append(u), times.append(n)
         if sum(map(len, keys)) > 2 * _KEEP:
-            k, t = _merge(keys, times)
-            held[kind] = ([k], [t])
-            if len(k) > least:
+            held[kind] = tuple([x] for x in _merge(keys, times))
+            if len(held[kind][0][0]) > least:
                 yield from rows(kind)
 
     def rows(kind: int) -> Iterator[pa.RecordBatch]:
         k, t = _merge(*held[kind])
-        held[kind] = ([], [])
         for i in range(0, len(k), 1 << 18):
             key = k[i : i + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(t[i : i + (1 << 18)])], names=["kind", "key", "n"])
 
     for batch in batches:
-        for i, j, data, offsets in _text.chunks(batch.column(0)):
+        for i, j, data, offsets in _text.chunks(batch.column(0), _CHUNK):
             yield from hold(0, _text.Words(data, offsets).hashes(), _KEEP)
             yield from hold(1, coded(data, offsets)[0], _KEEP)
             docs += j - i
@@ -235,13 +242,27 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows with their numbers to a task's slots with zeros and ones, summed in two rows of all slots."""
     zeros, ones = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
+    held: tuple[list, list] = ([], [])
+    rows = 0
+
+    def add() -> None:
+        windows, times = _merge(*held)
+        windows = windows.view(np.uint64)
+        for i in range(0, len(windows), 1 << 14):
+            add_slots(windows[i : i + (1 << 14)], times[i : i + (1 << 14)], zeros, ones)
+
     for batch in batches:
-        windows, times = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        for i in range(0, len(windows), 1 << 15):
-            add_slots(windows[i : i + (1 << 15)], times[i : i + (1 << 15)], zeros, ones)
-    used = np.flatnonzero(zeros + ones)
-    for i in range(0, len(used), 1 << 18):
-        key = used[i : i + (1 << 18)]
+        for column, values in zip(held, batch.columns, strict=True):
+            column.append(values.to_numpy().copy())  # the batch itself goes
+        rows += batch.num_rows
+        if rows >= _BUFFER:
+            add()
+            rows = 0
+    if rows:
+        add()
+    used = np.flatnonzero((zeros != 0) | (ones != 0))
+    for i in range(0, len(used), 1 << 17):
+        key = used[i : i + (1 << 17)]
         yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(zeros[key]), pa.array(ones[key])], names=["slot", "n", "m"])
 
 
@@ -260,9 +281,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Trained:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = materialise(map_arrow(texts.select("text"), _count, "kind int, key long, n long"), "seen")
     tokens = materialise(seen.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c")).select(F.col("key").alias("token"), "c"), "tokens")
-    # windows meet by their last two context bytes, so that almost every slot is summed in one task
-    windows = seen.filter("kind = 1").select("key", "n", F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("by")).repartition("by").groupBy("by", "key").agg(F.sum("n").alias("n"))
-    counted = map_arrow(windows.select("key", "n"), _to_slots, "slot int, n long, m long").groupBy("slot").agg(F.sum("n").cast("float").alias("n"), F.sum("m").cast("float").alias("m"))
+    # windows meet by their last two context bytes, so that almost every slot is summed in one task; rows of slots
+    # go straight to their sums, as there is nothing for a partial one to join
+    windows = seen.filter("kind = 1").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    counted = map_arrow(windows, _to_slots, "slot int, n long, m long").repartition("slot").groupBy("slot").agg(F.sum("n").cast("float").alias("n"), F.sum("m").cast("float").alias("m"))
     table = counted.toArrow()  # at most one row per slot, whatever the corpus
     zeros, ones = np.zeros(_SLOTS, np.float32), np.zeros(_SLOTS, np.float32)
     for batch in table.to_batches():
@@ -298,7 +320,7 @@ def score(docs: DataFrame, trained: Trained, keep: tuple[str, ...] = ()) -> Data
         memory = model.__dict__.setdefault("memory", _Memory(model))  # a worker keeps it for its next tasks
         for batch in batches:
             text = batch.column(2)
-            for i, j, data, offsets in _text.chunks(text):
+            for i, j, data, offsets in _text.chunks(text, _CHUNK):
                 words = _text.Words(data, offsets)
                 counts = np.diff(words.first)
                 hashes = np.insert(words.hashes(), words.first[1:], _END)
