@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,34 @@ def test_language_model_probabilities_sum_to_one():
     assert math.isclose((10 ** model.costs(windows)).sum(), 1, rel_tol=1e-9)
 
 
+def test_language_model_slots_and_learning(texts):
+    """Sums by tasks in pieces are those of all windows at once; learning leaves the slots as they were, in stretches or not."""
+    some = [t.encode() for t in list(texts.values())[:30]] + [b"", b"z" * (lm._STRETCH + 1000)]
+    data, offsets = np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])])
+    windows, _ = lm.coded(data, offsets)
+    zeros, ones = np.zeros(lm._SLOTS, np.int64), np.zeros(lm._SLOTS, np.int64)
+    lm.add_slots(windows, np.ones(len(windows), np.int64), zeros, ones)
+    batches = [pa.record_batch([pa.array(windows[i : i + 1000].view(np.int64)), pa.array(np.ones(len(windows[i : i + 1000]), np.int64))], names=["key", "n"]) for i in range(0, len(windows), 1000)]
+    got = pa.Table.from_batches(lm._to_slots(iter(batches)))
+    assert got["slot"].to_pylist() == np.flatnonzero(zeros + ones).tolist()
+    assert np.array_equal(got["n"].to_numpy(), zeros[got["slot"].to_numpy()]) and np.array_equal(got["m"].to_numpy(), ones[got["slot"].to_numpy()])
+    before = zeros.copy(), ones.copy()
+    lm.learn(zeros, ones, some)
+    assert np.array_equal(before[0], zeros) and np.array_equal(before[1], ones)
+
+
+def test_language_model_learns_for_unseen_text(texts):
+    every = [t.encode() for t in dict.fromkeys(texts.values())]
+    known, unseen = every[: len(every) * 2 // 3], every[len(every) * 2 // 3 :]
+    of = lambda some: lm.coded(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]))[0]
+    zeros, ones = np.zeros(lm._SLOTS, np.int64), np.zeros(lm._SLOTS, np.int64)
+    lm.add_slots(of(known), np.ones(len(of(known)), np.int64), zeros, ones)
+    model = lm.learn(zeros, ones, known)
+    windows, plain = of(unseen), lm.fresh(model.table)
+    parts = [windows[i : i + 65536] for i in range(0, len(windows), 65536)]
+    assert sum(model.costs(w).sum() for w in parts) > sum(plain.costs(w).sum() for w in parts)
+
+
 def test_transport_streams(texts):
     for t in [*list(texts.values())[:40], "", "x" * 4608, "y" * 9999]:
         payload = media_ts.pad(t.encode())
