@@ -28,7 +28,8 @@ from . import _text
 from ._spark import id_crc, map_arrow, materialise
 
 BITS, SAMPLE, CLUSTERS, ROUNDS, LIMIT_SHARE = 12, 512, 4, 12, 0.5
-_ROWS = 512
+#: Rows and bytes of text that are counted at once.
+_ROWS, _CHUNK = 128, 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -65,7 +66,7 @@ def _run_of_gaps(low: np.ndarray, n: int) -> np.ndarray:
 def counts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """For rows [i, j): their n-gram counts, a dense row each."""
     size = 1 << BITS
-    for i, j, data, offsets in _text.chunks(texts, rows=_ROWS):
+    for i, j, data, offsets in _text.chunks(texts, _CHUNK, _ROWS):
         low = _letters(data)
         row = np.repeat(np.arange(j - i), np.diff(offsets)) * size
         total = np.zeros((j - i) * size, np.int64)
@@ -159,11 +160,13 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, clusters: int = C
 def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, lang_pred, score, rejected``, with the columns of ``extra`` before them as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids and frequencies of 2**BITS bins
+    twice = text_col in extra and docs.schema[text_col].dataType.simpleString() == "string"  # one copy will do
+    place = 1 + (extra.index(text_col) if twice else len(extra))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(place)
             langs: list[str] = []
             scores = np.zeros(len(texts))
             rejected = np.ones(len(texts), bool)
@@ -178,9 +181,10 @@ def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col:
                     langs.append(m.langs[best])
                     scores[i + d] = min(1.0, max(0.0, float(like[d, best])))
                     rejected[i + d] = like[d, best] < m.limits[best]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(2 + k) for k in range(len(extra))), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", *(f"x{k}" for k in range(len(extra))), "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(1 + k) for k in range(len(extra))), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", *(f"x{k}" for k in range(len(extra))), "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"x{k}") for k, c in enumerate(extra)))
+    text = [] if twice else [F.col(text_col).cast("string").alias("text")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"x{k}") for k, c in enumerate(extra)), *text)
     kinds = "".join(f", x{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(extra))
     return map_arrow(rows, run, f"doc_id long{kinds}, lang_pred string, score double, rejected boolean")
 
