@@ -281,9 +281,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Trained:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     seen = materialise(map_arrow(texts.select("text"), _count, "kind int, key long, n long"), "seen")
     tokens = materialise(seen.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c")).select(F.col("key").alias("token"), "c"), "tokens")
-    # windows meet by their last two context bytes, so that almost every slot is summed in one task; rows of slots
-    # go straight to their sums, as there is nothing for a partial one to join
-    windows = seen.filter("kind = 1").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)))
+    # windows meet by their last three context bytes, so that most slots (orders 3 to 5) are summed in one task and a
+    # common pair of letters is dealt over many; rows of slots go straight to their sums, without partial ones
+    windows = seen.filter("kind = 1").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF)))
     counted = map_arrow(windows, _to_slots, "slot int, n long, m long").repartition("slot").groupBy("slot").agg(F.sum("n").cast("float").alias("n"), F.sum("m").cast("float").alias("m"))
     table = counted.toArrow()  # at most one row per slot, whatever the corpus
     zeros, ones = np.zeros(_SLOTS, np.float32), np.zeros(_SLOTS, np.float32)
