@@ -48,7 +48,7 @@ ORDERS = len(SLOT_BITS)
 _BASE = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])  # all orders' slots stand in one row
 _SLOTS = int(_BASE[-1])
 _END = np.uint64(0xE4D0F7EC7)  # the end token's hash
-_KEEP, _REMEMBER = 1_500_000, 22
+_KEEP, _REMEMBER = 1_500_000, 21
 _NODE = np.uint64(0x9E3779B97F4A7C15)
 _ORDER = (np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -237,6 +237,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind in (0, 1):
             if held[kind][0]:
                 yield from rows(kind)
+    pa.default_memory_pool().release_unused()
 
 
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -344,6 +345,7 @@ def score(docs: DataFrame, trained: Trained, keep: tuple[str, ...] = ()) -> Data
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     scored = materialise(map_arrow(rows, run, schema), "scored")
+    shared.unpersist()  # what was scored is written
     tails = scored.select("uid", F.explode("tail").alias("token")).groupBy("uid", "token").agg(F.count("*").alias("times")).join(trained.tokens, "token", "left")
     one = F.log10(F.coalesce("c", F.lit(0)) + F.lit(floor)) - F.lit(float(bottom))
     sums = tails.groupBy("uid").agg(F.sum(F.col("times") * one).alias("tail_score"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
