@@ -34,7 +34,7 @@ FORMATS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-_BYTE = r"0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 #: An identifier-like run of non-spaces: a digit or an at sign in it, or an underscore between others.
 _INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"

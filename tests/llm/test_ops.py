@@ -112,6 +112,13 @@ def test_pii(spark):
     assert clean[100]["text"] == "Please contact user handle: [CTX-EMAIL]! and more" and clean[100]["n_chars"] == len(clean[100]["text"])
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    rows = [(1, "at 10.0.0.1 or 0.0.0.0, then 010.001.000.255; 8.8.8.0"), (2, "00.1.2.3 000.000.000.000 0256.0.0.1 10.0.0.256 127.0.0.1"), (3, "0" * 2000 + ".0.0.0 and 300.0.0.0")]
+    got = {r["doc_id"]: r for r in pii.op3_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k]["n_ip"] for k, _ in rows] == [4, 3, 1]
+    assert all(got[k]["base_sha256"] == hashlib.sha256(base(t).encode()).hexdigest() for k, t in rows)
+
+
 def test_mixing(spark):
     # a source must have rows enough for whole rows to come near its target: 1000 documents in 20 sources
     got = mixing.op4_mixing(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
