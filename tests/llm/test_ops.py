@@ -289,3 +289,32 @@ def test_pipeline(spark, awkward, docs):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
         assert empty.count() == 0
+
+
+def test_pipeline_near_duplicates(spark):
+    """One row of each class at a Jaccard similarity of 0.8 or more of five-word shingles, by brute force."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = ["", "  ", "one", "One ", "one two"]
+    for length in rng.integers(30, 300, 40):
+        texts.append(" ".join(f"w{w}" for w in rng.integers(0, 5000, length)))
+        for edits in rng.integers(1, 8, 4):  # copies of copies, with some words changed
+            words = texts[-1].split()
+            for k in rng.integers(0, len(words), edits):
+                words[k] = f"x{rng.integers(0, 5000)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    linked = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b):
+                linked += 1
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for i, x in enumerate(label):
+        least.setdefault(x, i)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+    assert linked > 60 and got == sorted(least.values())
