@@ -206,6 +206,15 @@ def test_licenses(spark, docs):
     assert got == {1: "MIT", 2: None, 3: None}
 
 
+def test_full_licenses(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+    rows = [(i, open(f"/usr/share/common-licenses/{name}").read().upper()) for i, name in enumerate(names)]
+    rows.append((99, 'Text.\n   Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file'))
+    got = {r["doc_id"]: r for r in licenses.op8_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i]["whole_license"] for i in range(len(names))] == list(names.values())
+    assert got[99]["licenses"] == "Apache-2.0" and got[99]["license_lines"] == 1 and got[99]["whole_license"] is None
+
+
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
