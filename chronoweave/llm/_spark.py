@@ -15,12 +15,14 @@ _ROOT = Path(__file__).resolve().parents[2]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only an unset one gets a local default (tests)."""
+    """The folder that driver and executors share; an unset one gets a local default in local mode (tests) only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = known.get() if known.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "/tmp/checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -30,13 +32,20 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder as Parquet and read it again.
 
     The files outlive any executor, so a lost one costs a re-read, not a re-run.
+    They are deleted when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _folder(spark, path, lambda fs, p: fs.deleteOnExit(p))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str, use) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    use(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers where PYTHONPATH doesn't already do so."""
     if str(_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):

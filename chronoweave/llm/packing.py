@@ -1,14 +1,23 @@
 """Best-fit packing of token sequences (operator 9).
 
 Documents become token ids, then pieces of at most ``capacity`` tokens. Packing
-is bulk-synchronous best fit over range-sorted size classes: all pieces of one
-length are interchangeable, and so are all open sequences with one gap, so a
-round takes the longest unplaced class, sweeps to its successor among the gaps
-(the smallest that is not shorter), matches as many pairs as both sides hold,
-resolves who gets which gap by rank, updates the gaps and goes on. Sizes and
-gaps are integers up to ``capacity``, so the classes' table has at most
-``capacity`` rows whatever the corpus holds; it alone reaches the driver. Ranks,
-tokens and placements stay distributed.
+is bulk-synchronous best fit over rows. A round
+
+1. opens as many empty sequences as the pieces left need at least: their words
+   less the gaps that are open, and pieces longer than any gap;
+2. sorts pieces and gaps together by size into ranges of about ``range_rows``
+   rows (equal sizes are told apart by number, so that one length never makes one
+   range) and sweeps each range by itself: from the longest on, a piece takes the
+   smallest gap of its range that holds it, and what is left of the gap goes back;
+3. settles by rank who gets the gaps that a range has left: ranges below, the
+   nearest first, whose pieces found none, are dealt them from the smallest on, as
+   many as their pieces can need; each such range is swept once more with its deal;
+4. ends with the gaps as they are now, those too small for any piece left out.
+
+A gap that takes a piece in a sweep is afterwards too small for another one of
+that range, so that rounds are few (their number follows the logarithm of the
+capacity, not the rows). Pieces, gaps and places are tables; the driver holds
+six numbers a range and a few sums a round.
 
 Null texts count as empty: a document of the end id only. Repeated rows are
 packed as often as they occur. An empty table gives an empty result. Only the
@@ -17,16 +26,16 @@ id and text columns are read, so others may have any name.
 
 from __future__ import annotations
 
-import bisect
 import json
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import map_arrow, materialise
@@ -39,8 +48,10 @@ LAST_LATIN = 0x24F
 LATIN = regex.compile(f"[\x20-\x7e\xa1-{chr(LAST_LATIN)}]*")
 #: White space inside runs, which normalising would turn into a cut or drop.
 INNER_SPACE = regex.compile(r"[^\S\x20]")
-#: Parts into which every length class is dealt for ranking.
-DEALT = 64
+#: Rows of a range that one task sweeps.
+RANGE_ROWS = 1 << 17
+#: A round over many ranges takes the pieces longer than this part of the longest.
+REACH = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -162,92 +173,179 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, PIECES + ", ids array<int>" * with_ids)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Placements (length, first rank, count, first sequence, per sequence, offset).
+# --- packing: rows (what, group, nth, id, size, sequence_id, offset) ---------------------
 
-    Pieces of that length ranked [first rank, + count) go ``per sequence`` at a
-    time into consecutive sequences from ``first sequence`` on, at ``offset`` and
-    the places after it.
-    """
-    out: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap: ranges (first sequence, count)
-    order: list[int] = []  # the gaps, sorted
-    opened = 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, n))
-
-    def fill(length: int, rank: int, left: int, gap: int, first: int, n: int) -> int:
-        """Fill n sequences of one gap as far as the pieces last; returns the pieces used."""
-        per = gap // length
-        full = min(n, left // per)
-        if full:
-            out.append((length, rank, full * per, first, per, capacity - gap))
-            put(gap - per * length, first, full)
-        used = full * per
-        if full < n:
-            rest = left - used
-            if rest:
-                out.append((length, rank + used, rest, first + full, rest, capacity - gap))
-                put(gap - rest * length, first + full, 1)
-                used += rest
-            put(gap, first + full + bool(rest), n - full - bool(rest))
-        return used
-
-    for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
-        while left:
-            k = bisect.bisect_left(order, length)
-            if k == len(order):
-                n = -(-left // (capacity // length))
-                rank_used = fill(length, rank, left, capacity, opened, n)
-                opened += n
-            else:
-                gap = order[k]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], order[k]
-                rank_used = fill(length, rank, left, gap, first, n)
-            rank, left = rank + rank_used, left - rank_used
-    return out
+_PLACED, _PIECE, _GAP = 0, 1, 2
+_ROWS = "what int, group int, nth long, id long, size long, sequence_id long, offset long"
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to rows that have PIECES' columns.
+def best_fit(lengths: np.ndarray, gaps: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces by falling length, each into the smallest open gap that holds it.
 
-    ``parts`` should be materialised: it is read for the classes, the ranks and the result.
+    Returns each piece's gap (its place in ``gaps``, or -1), its offset in the
+    sequence (a gap stands at its end), and what is left of the gaps.
     """
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    placed = sorted(plan(histogram, capacity))
-    shift = 44
-    keys = np.array([p[0] << shift | p[1] for p in placed], np.int64)
-    rank0, seq0, per, offset0 = (np.array([p[i] for p in placed], np.int64) for i in (1, 3, 4, 5))
-
-    # rank in two levels, so that a third of all pieces in one class still spreads over DEALT tasks
-    dealt = parts.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(DEALT)))
-    base = dealt.groupBy("length", "dealt").agg(F.count("*").alias("n"))
-    base = base.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("dealt").rowsBetween(Window.unboundedPreceding, -1)))
-    base = base.select("length", "dealt", F.coalesce("base", F.lit(0)).alias("base"))
-    inner = Window.partitionBy("length", "dealt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("rank", F.row_number().over(inner).cast("long") - 1).join(base, ["length", "dealt"])
-    columns = parts.columns
-    ranked = ranked.select(*columns, (F.col("rank") + F.col("base")).alias("rank"))
+    open_gaps: dict[int, list[int]] = {}
+    sizes = 0  # bit g: a gap of size g is open
+    left = gaps.copy()
+    for n in range(len(gaps) - 1, -1, -1):  # the first of a size is the first to be taken
+        open_gaps.setdefault(int(gaps[n]), []).append(n)
+    for g in open_gaps:
+        sizes |= 1 << g
+    taken, offsets = np.full(len(lengths), -1, np.int64), np.zeros(len(lengths), np.int64)
+    for i, length in enumerate(lengths.tolist()):
+        above = sizes >> length
+        if not above:
+            continue
+        gap = length + (above & -above).bit_length() - 1
+        same = open_gaps[gap]
+        n = same.pop()
+        if not same:
+            sizes ^= 1 << gap
+        taken[i], offsets[i] = n, capacity - gap
+        left[n] = rest = gap - length
+        if rest:
+            open_gaps.setdefault(rest, []).append(n)
+            sizes |= 1 << rest
+    return taken, offsets, left
+
+
+def _swept(capacity: int):
+    """Rows (group, what, id, size), a group's side by side with gaps first and pieces by falling length, to _ROWS.
+
+    Left gaps no smaller than any row of their group are numbered from the smallest on; the others have the number -1.
+    """
+
+    def table(what: int, group: int, nth: np.ndarray, ids: np.ndarray, size: np.ndarray, seq: np.ndarray, offset: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(ids), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            n = len(ids[part])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, what, np.int32)), pa.array(np.full(n, group, np.int32)), *(pa.array(x[part]) for x in (nth, ids, size, seq, offset))], names=[c.split()[0] for c in _ROWS.split(", ")])
+
+    def sweep(group: int, what: np.ndarray, ids: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        gap = what == _GAP
+        gaps, seqs, lengths, uids = size[gap], ids[gap], size[~gap], ids[~gap]
+        taken, offsets, left = best_fit(lengths, gaps, capacity)
+        hit = taken >= 0
+        none = lambda n: np.full(n, -1, np.int64)
+        yield from table(_PLACED, group, none(hit.sum()), uids[hit], lengths[hit], seqs[taken[hit]], offsets[hit])
+        yield from table(_PIECE, group, none((~hit).sum()), uids[~hit], lengths[~hit], none((~hit).sum()), none((~hit).sum()))
+        still = np.lexsort((seqs, left))
+        still = still[left[still] > 0]
+        nth = none(len(still))
+        wide = left[still] >= size.min()
+        nth[wide] = np.arange(wide.sum())
+        yield from table(_GAP, group, nth, seqs[still], left[still], none(len(still)), none(len(still)))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]
+        at = None
         for batch in batches:
-            length = batch.column("length").to_numpy(zero_copy_only=False)
-            rank = batch.column("rank").to_numpy(zero_copy_only=False)
-            at = np.searchsorted(keys, length << shift | rank, "right") - 1
-            nth = rank - rank0[at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(seq0[at] + nth // per[at]), pa.array(offset0[at] + nth % per[at] * length)], names=[*columns, "sequence_id", "offset"])
+            group = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(group)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)], strict=True):
+                if i == j:
+                    continue
+                if at is not None and group[i] != at:
+                    yield from sweep(at, *map(np.concatenate, held))
+                    held = [[], [], []]
+                at = int(group[i])
+                for column, values in zip(held, batch.columns[1:], strict=True):
+                    column.append(values.to_numpy()[i:j].copy())
+        if at is not None:
+            yield from sweep(at, *map(np.concatenate, held))
+
+    return run
+
+
+def deals(summary: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Gaps left, by range and rank, for ranges whose pieces found none: (from range, first rank, last rank + 1, to range).
+
+    ``summary``: (range, pieces left, their greatest length, gaps left, their least size) by falling sizes. As in a
+    sweep over all ranges, the smallest gaps above are the last ones seen, hence a stack.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    stack: list[list[int]] = []  # range, next rank, ranks, least size
+    for at, pieces, longest, gaps, least in sorted(summary):
+        while pieces > 0 and stack:
+            top = stack[-1]
+            each = max(1, top[3] // longest)
+            n = min(-(-pieces // each), top[2] - top[1])
+            out.append((top[0], top[1], top[1] + n, at))
+            top[1] += n
+            pieces -= n * each
+            if top[1] == top[2]:
+                stack.pop()
+        if gaps:
+            stack.append([at, 0, gaps, least])
+    return out
+
 
-    return map_arrow(ranked, place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long")
+def _round(rows: DataFrame, n: int, capacity: int, range_rows: int) -> tuple[list[DataFrame], DataFrame]:
+    """One round over ``rows`` (what, id, size), n in number: tables that hold placed rows, and the rows that stay."""
+    spark, sweep = rows.sparkSession, _swept(capacity)
+    by_size = [F.col("size").desc(), F.col("what").desc(), F.col("id")]
+    ranges = rows.repartitionByRange(max(1, -(-n // range_rows)), *by_size).withColumn("group", F.spark_partition_id())
+    first = materialise(map_arrow(ranges.select("group", "what", "id", "size").sortWithinPartitions("group", *by_size), sweep, _ROWS), "swept")
+    left = first.filter((F.col("what") == _PIECE) | (F.col("nth") >= 0)).groupBy("group").agg(
+        F.count_if(F.col("what") == _PIECE).alias("pieces"), F.max(F.when(F.col("what") == _PIECE, F.col("size"))).alias("longest"),
+        F.count_if(F.col("what") == _GAP).alias("gaps"), F.min(F.when(F.col("what") == _GAP, F.col("size"))).alias("least"),
+    )
+    dealt = deals([tuple(r) for r in left.collect()])
+    stay = first.filter(F.col("what") != _PLACED)
+    if not dealt:
+        return [first], stay.select("what", "id", "size")
+    groups = 1 + max(d[3] for d in dealt)
+    # a few rows a range: gaps by the ranks they have, pieces of a range as they are
+    given = spark.createDataFrame([(_GAP, *d) for d in dealt] + [(_PIECE, p, -1, 0, p) for p in sorted({d[3] for d in dealt})], "w int, g int, low long, high long, to int")
+    fits = (F.col("what") == F.col("w")) & (F.col("group") == F.col("g")) & (F.col("nth") >= F.col("low")) & (F.col("nth") < F.col("high"))
+    routed = stay.join(F.broadcast(given), fits, "left")
+    again = routed.filter("to is not null").select(F.col("to").alias("group"), "what", "id", "size").repartitionById(groups, F.col("group"))
+    second = materialise(map_arrow(again.sortWithinPartitions("group", *by_size), sweep, _ROWS), "swept")
+    return [first, second], routed.filter("to is null").select("what", "id", "size").unionByName(second.filter(F.col("what") != _PLACED).select("what", "id", "size"))
+
+
+def places(pieces_: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS, reach: int = REACH) -> DataFrame:
+    """``id, sequence_id, offset`` of pieces ``id`` (distinct longs), ``size`` (1 to ``capacity``)."""
+    spark = pieces_.sparkSession
+    rows = pieces_.select(F.lit(_PIECE).alias("what"), F.col("id").cast("long").alias("id"), F.col("size").cast("long").alias("size"))
+    done: list[DataFrame] = []
+    opened = 0
+    while True:
+        piece, gap = F.when(F.col("what") == _PIECE, F.col("size")), F.when(F.col("what") == _GAP, F.col("size"))
+        now = rows.agg(F.count(piece).alias("pieces"), F.sum(piece).alias("words"), F.min(piece).alias("least"), F.max(piece).alias("longest"), F.count(gap).alias("gaps"), F.sum(gap).alias("room"), F.max(gap).alias("widest")).first()
+        if not now["pieces"]:
+            break
+        widest = now["widest"] or 0
+        high = rows.filter((F.col("what") == _PIECE) & (F.col("size") > widest)).agg(F.sum("size")).first()[0] if 0 < widest < now["longest"] else 0
+        need = -(-max(now["words"] - (now["room"] or 0), high or 0) // capacity)
+        if need > 0:
+            rows = rows.unionByName(spark.range(opened, opened + need).select(F.lit(_GAP).alias("what"), "id", F.lit(capacity).cast("long").alias("size")))
+            opened += need
+        rows = rows.filter((F.col("what") == _PIECE) | (F.col("size") >= now["least"]))
+        n = now["pieces"] + now["gaps"] + max(need, 0)
+        # one range is swept to its end; of more than one, shorter pieces wait for what this round leaves of its gaps
+        low = now["longest"] // reach if n > range_rows else 0
+        tables, left = _round(rows.filter(F.col("size") > low), n, capacity, range_rows)
+        rows = left.unionByName(rows.filter(F.col("size") <= low)) if low else left
+        done += tables
+    if not done:
+        return spark.createDataFrame([], "id long, sequence_id long, offset long")
+    placed = [t.filter(F.col("what") == _PLACED).select("id", "sequence_id", "offset") for t in done]
+    return reduce(DataFrame.unionByName, placed)
+
+
+def pack(parts: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``; ``parts`` is read once.
+
+    Columns of any other name travel as they are; ``parts`` has none of the two names.
+    """
+    columns = parts.columns
+    numbered = materialise(parts.select(F.monotonically_increasing_id().alias("id"), F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")), "pieces")
+    placed = places(numbered.select("id", F.col("row.length").alias("size")), capacity, range_rows)
+    return numbered.join(placed, "id").select("row.*", "sequence_id", "offset")
 
 
 def op9_packing(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Pieces of all documents with their places in sequences of CAPACITY tokens."""
-    return pack(materialise(pieces(docs, path), "pieces"))
+    return pack(pieces(docs, path))

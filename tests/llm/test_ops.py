@@ -226,7 +226,44 @@ def test_packing(docs, texts):
         assert got[got.doc_id == k].sort_values("piece").ids_crc32.tolist() == want
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 4096
-    assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 4096) * 1.05 + 1
+    assert got.sequence_id.nunique() <= math.ceil(got.length.sum() / 4096) + 1
+
+
+def sequential_best_fit(lengths, capacity):
+    """Sequences that best fit by falling length needs, one piece after another."""
+    left = []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in left if g >= n]
+        if fits:
+            left[left.index(min(fits))] -= n
+        else:
+            left.append(capacity - n)
+    return len(left)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "halves", "hot", "tiny", "long"])
+def test_packing_in_many_ranges(spark, kind):
+    """Whole and gapless in any number of ranges, and about as few sequences as one sweep over all rows."""
+    rng = np.random.default_rng(4)
+    lengths = {
+        "mixed": np.minimum(np.exp(rng.normal(5, 1.5, 900)).astype(int) + 1, 1000), "halves": rng.integers(400, 650, 400), "hot": np.where(rng.random(900) < 0.4, 333, rng.integers(1, 1001, 900)),
+        "tiny": rng.integers(1, 4, 900), "long": np.full(50, 1000),
+    }[kind].tolist()
+    rows = spark.createDataFrame([(i % 7, n, "x") for i, n in enumerate(lengths)], "id long, length long, row string")
+    got = packing.pack(rows, 1000, 60).toPandas()
+    assert sorted(got.length) == sorted(lengths) and list(got.columns) == ["id", "length", "row", "sequence_id", "offset"]
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]] and g.length.sum() <= 1000
+    assert got.sequence_id.nunique() <= 1.01 * sequential_best_fit(lengths, 1000) + 1
+
+
+def test_best_fit_takes_the_smallest_gap():
+    taken, offsets, left = packing.best_fit(np.array([7, 5, 5, 3, 2, 2]), np.array([6, 9, 5]), 10)
+    assert taken.tolist() == [1, 2, 0, -1, 1, -1] and offsets.tolist() == [1, 5, 4, 0, 8, 0] and left.tolist() == [1, 0, 0]
+
+
+def test_deals_come_from_the_nearest_range_above():
+    assert packing.deals([(0, 0, None, 3, 90), (1, 2, 50, 2, 40), (2, 3, 30, 0, None)]) == [(0, 0, 2, 1), (1, 0, 2, 2), (0, 2, 3, 2)]
 
 
 def components(fps, radius=3):
