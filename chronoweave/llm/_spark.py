@@ -72,6 +72,21 @@ def id_crc(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def named(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def kept(columns: tuple[str, ...] | list[str]) -> list[Column]:
+    """The columns under the names kept_0, kept_1 …, which clash with nothing."""
+    return [named(c).alias(f"kept_{k}") for k, c in enumerate(columns)]
+
+
+def restored(columns: tuple[str, ...] | list[str]) -> list[Column]:
+    """``kept`` undone."""
+    return [F.col(f"kept_{k}").alias(c) for k, c in enumerate(columns)]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
