@@ -3,34 +3,36 @@
 A text's vector counts its hashed byte n-grams (2 and 3 bytes, Latin
 letters folded, runs of other ASCII signs as one gap), damped by log(1 + n), weighted by inverse document frequency and scaled
 to length one. Every language has up to CLUSTERS centroids from spherical
-k-means over a sample of at most about SAMPLE rows; document frequencies come
-from all rows that may be learned from. A text goes to the language of its most
+k-means over a sample of at most SAMPLE distinct texts (those of the least hashes);
+document frequencies come from all rows that may be learned from. A text goes to the language of its most
 similar centroid by cosine. It is rejected if that similarity is below the
 language's limit: a share of the least similarity in the sample.
 
-``und`` is given to null texts and texts without a letter (score 0, rejected).
-Rows without a language teach nothing; with no labelled row at all every text is
-``und``. Repeated rows get equal results. Only id, text and language are read.
+``und`` is given to null texts and texts without a letter (general category L; score
+0, rejected). Rows without a language teach nothing; with no labelled row at all
+every text is ``und``. Repeated rows get equal results; in the sample a text counts
+once for a language, however often it occurs. Only id, text and language are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import id_crc, map_arrow, materialise
+from ._spark import id_crc, map_arrow, materialise, named
 
 BITS, SAMPLE, CLUSTERS, ROUNDS, LIMIT_SHARE = 12, 512, 4, 12, 0.5
 #: Rows and bytes of text that are counted at once.
 _ROWS, _CHUNK = 128, 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass(frozen=True)
@@ -100,55 +102,76 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def _least(sample: int):
+    """Rows (lang, h) to a task's rows (lang, n, h): its rows of a language, and its ``sample`` least distinct hashes of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            langs, h = pc.dictionary_encode(batch.column(0)), batch.column(1).to_numpy()
+            codes = langs.indices.to_numpy()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                own = h[codes == k]
+                n, known = held.get(lang, (0, np.zeros(0, np.int64)))
+                held[lang] = n + len(own), np.unique(np.concatenate([known, own]))[:sample]
+        for lang, (n, known) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (1 + len(known)), pa.string()), pa.array([n] + [0] * len(known), pa.int64()), pa.array([None, *known.tolist()], pa.int64())], names=["lang", "n", "h"])
+
+    return run
+
+
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Centroids:
-    """Learn from rows for which ``usable`` holds: about ``sample`` of each language, and all for the frequencies."""
+    """Learn from rows for which ``usable`` holds: ``sample`` distinct texts of each language, and all for the frequencies."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    counted = materialise(map_arrow(rows.select("lang", "h"), _least(sample), "lang string, n long, h long"), "least")
+    per = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     size = 1 << BITS
     if not per:
         return Centroids([], np.zeros((0, size), np.float32), np.ones(size, np.float32), np.zeros(0))
-    million = 1_000_000
-    limit = F.lit(0)
-    for lang, n in sorted(per.items()):
-        limit = F.when(F.col("lang") == lang, int(min(1.0, sample / n) * million)).otherwise(limit)
-    chosen = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(million)) < limit
+    # a language's sample ends with its sample-th distinct hash
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    last = counted.filter("h is not null").select("lang", "h").distinct().withColumn("nth", nth).filter(F.col("nth") <= sample).groupBy("lang").agg(F.max("h").alias("h"))
+    limit = F.create_map(*(F.lit(x) for r in last.collect() for x in (r["lang"], r["h"])))
+    chosen = F.col("h") <= F.element_at(limit, F.col("lang"))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of chosen texts' counts, and one row of document frequencies for each bin with any."""
         seen = np.zeros(size, np.int64)
+        sent: set[tuple[str, int]] = set()  # at most ``sample`` of each language
 
-        def table(langs: list, ats: list, ns: list, bins: list, dfs: list) -> pa.RecordBatch:
-            kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((langs, ats, ns, bins, dfs), kinds, strict=True)], names=["lang", "at", "n", "bin", "df"])
+        def table(langs: list, hs: list, ats: list, ns: list, bins: list, dfs: list) -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((langs, hs, ats, ns, bins, dfs), kinds, strict=True)], names=["lang", "h", "at", "n", "bin", "df"])
 
         for batch in batches:
-            langs, keep = batch.column(0), np.array(batch.column(2).to_pylist(), bool)
+            langs, hs, keep = batch.column(0), batch.column(2), np.array(batch.column(3).to_pylist(), bool)
             for i, j, grams in counts(batch.column(1)):
                 seen += (grams > 0).sum(axis=0)
-                picked = np.flatnonzero(keep[i:j])
-                if len(picked):
-                    at = [np.flatnonzero(grams[p]).astype(np.int32) for p in picked]
-                    n = [grams[p][a].astype(np.int32) for p, a in zip(picked, at, strict=True)]
-                    none = [None] * len(picked)
-                    yield table([langs[i + int(p)].as_py() for p in picked], at, n, none, none)
+                for p in np.flatnonzero(keep[i:j]).tolist():
+                    key = langs[i + p].as_py(), hs[i + p].as_py()
+                    if key not in sent:
+                        sent.add(key)
+                        at = np.flatnonzero(grams[p]).astype(np.int32)
+                        yield table([key[0]], [key[1]], [at], [grams[p][at].astype(np.int32)], [None], [None])
         bins = np.flatnonzero(seen)
         none = [None] * len(bins)
-        yield table(none, none, none, bins.tolist(), seen[bins].tolist())
+        yield table(none, none, none, none, bins.tolist(), seen[bins].tolist())
 
-    got = materialise(map_arrow(rows.select("lang", F.col("text").cast("string"), chosen.alias("chosen")), gather, "lang string, at array<int>, n array<int>, bin int, df long"), "ngrams")
+    got = materialise(map_arrow(rows.select("lang", "text", "h", chosen.alias("chosen")), gather, "lang string, h long, at array<int>, n array<int>, bin int, df long"), "ngrams")
     df = np.zeros(size)
     for r in got.filter("bin is not null").groupBy("bin").agg(F.sum("df").alias("df")).collect():
         df[r["bin"]] = r["df"]
     idf = (np.log((1 + sum(per.values())) / (1 + df)) + 1).astype(np.float32)
-    picked = got.filter("lang is not null").select("lang", "at", "n").toArrow()
-    names = np.array(picked["lang"].to_pylist(), object)
-    grams = np.zeros((len(names), size), np.int32)
-    for i in range(len(names)):
-        grams[i, picked["at"][i].values.to_numpy()] = picked["n"][i].values.to_numpy()
+    picked = got.filter("lang is not null").dropDuplicates(["lang", "h"]).select("lang", "h", "at", "n").toArrow()
+    names, order = np.array(picked["lang"].to_pylist(), object), np.argsort(picked["h"].to_numpy())
     langs, centres, limits = [], [], []
-    for lang in sorted(set(names)):
-        x = vectors(grams[names == lang], idf)
-        x = x[np.lexsort(x.T[:8])]  # the same order whatever the partitions
+    for lang in sorted(per):
+        own = order[names[order] == lang]  # by hash: the same order whatever the partitions
+        grams = np.zeros((len(own), size), np.int32)
+        for row, i in enumerate(own.tolist()):
+            grams[row, picked["at"][i].values.to_numpy()] = picked["n"][i].values.to_numpy()
+        x = vectors(grams, idf)
         c = _cluster(x, clusters)
         least = (x @ c.T).max(axis=1).min()
         langs += [lang] * len(c)
@@ -184,7 +207,7 @@ def predict(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(1 + k) for k in range(len(extra))), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], names=["doc_id", *(f"x{k}" for k in range(len(extra))), "lang_pred", "score", "rejected"])
 
     text = [] if twice else [F.col(text_col).cast("string").alias("text")]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(F.col(c).alias(f"x{k}") for k, c in enumerate(extra)), *text)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(named(c).alias(f"x{k}") for k, c in enumerate(extra)), *text)
     kinds = "".join(f", x{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(extra))
     return map_arrow(rows, run, f"doc_id long{kinds}, lang_pred string, score double, rejected boolean")
 
