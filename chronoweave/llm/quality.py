@@ -5,13 +5,14 @@ with their case. A text's features are its hashed words and word pairs, each
 occurrence weighing 1 / sqrt(number of occurrences). A pair whose second word
 repeats the first, or the one before the first, is the same feature whatever the
 word. The weights are learned by
-follow-the-regularised-leader (proximal) updates over a sample of labelled rows,
-bounded by SAMPLE rows; a score is the logistic function of the sparse dot
+follow-the-regularised-leader (proximal) updates over a sample of labelled ids: the
+SAMPLE ones of the least hashes; a score is the logistic function of the sparse dot
 product of a text's features and the weights.
 
 Null and empty texts have no feature: their score is that of the intercept.
 Labels that are null teach nothing; repeated labels of one id count once (the
-largest). Without labels every score is 0.5. Repeated rows get equal scores. Only
+largest), and of the texts of one id the one of the least hash is learned from.
+Without labels every score is 0.5. Repeated rows get equal scores. Only
 id and text, and the labels' id and label, are read.
 """
 
@@ -42,7 +43,10 @@ def features(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         one = (h >> shift).astype(np.int64)
         two = (_text.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) >> shift).astype(np.int64) if n > 1 else np.zeros(0, np.int64)
         two[h[1:] == h[:-1]] = SAME
-        two[1:][h[2:] == h[:-2]] = SAME_AGAIN
+        again = np.zeros(max(n - 1, 0), bool)
+        again[1:] = h[2:] == h[:-2]
+        again[first[:-1][np.diff(first) > 1]] = False  # a text's first word has none before it
+        two[again] = SAME_AGAIN
         # words and pairs interleaved, a pair after its first word; the last word of a text opens no pair
         both = np.empty(2 * n, np.int64)
         both[0::2] = one
@@ -77,15 +81,12 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]], passes: int = PASS
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, float]:
-    """Learn from at most about ``sample`` labelled rows of ``docs``, chosen by a hash of the id.
+    """Learn from at most ``sample`` labelled ids of ``docs``, those of the least hashes.
 
     The chosen ids, bounded by ``sample``, are the only broadcast side.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = materialise(known, "labels")
-    n = known.count()
-    share = min(1.0, sample / n) if n else 0.0
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +98,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                     value.append((c / np.sqrt(max(1, c.sum()))).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["doc_id", "y", "at", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text"))
     table = materialise(map_arrow(rows, vectors, "doc_id long, y int, at array<int>, x array<float>"), "vectors").toArrow()
     order = np.argsort(_text.mix(table["doc_id"].to_numpy().view(np.uint64) + np.uint64(1)), kind="stable")
     ys, ats, xs = table["y"].to_numpy(), table["at"], table["x"]
