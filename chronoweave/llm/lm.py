@@ -9,12 +9,16 @@ squashed, and refined by an adaptive map of (last byte, bits so far, quantised
 prediction). Bits per byte follow from the probabilities of all bits.
 
 Counters cover all texts learned from: partitions count six-byte windows, which
-meet by their contexts and become counts of fixed slots. Weights and the
-adaptive map learn online, bit after bit in small steps, over a bounded sample of
-whole texts (SAMPLE), each with its own counts taken out, so that they learn what
-predictions are worth on unseen text. Then all is fixed, so that a score depends
-on the text and the training rows alone, not on partitions or order. A worker
-remembers costs by the six bytes that determine them.
+meet by their contexts and become counts of fixed slots. Weights and the adaptive
+map learn from all windows too, each weighing as often as it occurs and with its
+own occurrence taken out of the counts, so that they learn what predictions are
+worth for a byte not counted yet. Each task learns weights online, in small steps
+over its windows in the order of a hash, from the weights that all share; their
+mean, by occurrences, is the next pass's start (PASSES). A last pass sums up the
+adaptive map's cells under the weights so found. Then all is fixed: a score depends
+on the text and the model. Weights vary a little with the number of tasks, as
+online learning does with order; equal layouts of the input give equal scores. A
+worker remembers costs by the six bytes that determine them.
 
 The base score is that of a unigram model with additive smoothing. Counts of all
 tokens are a distributed sum; the HEAD most frequent go to the scan as a table of
@@ -37,13 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import id_crc, map_arrow, materialise
+from ._spark import id_crc, kept, map_arrow, materialise
 
-#: Slots of the contexts of 1, 2, ... bytes, as powers of 2; rows of the mixer's sample; the head's tokens.
-SLOT_BITS, SAMPLE, HEAD = (16, 18, 20, 21, 22), 300, 1 << 18
-RATE, MAP_RATE, STEP, LEVELS, PRIOR = 0.005, 0.02, 256, 33, 0.1
+#: Slots of the contexts of 1, 2, ... bytes, as powers of 2; passes of learning weights; the head's tokens.
+SLOT_BITS, PASSES, HEAD = (16, 18, 20, 21, 22), 1, 1 << 18
+#: Step of the weights; windows of a step; levels of the map; counts that a slot has to begin with; occurrences that a cell has.
+RATE, STEP, LEVELS, PRIOR, FIRM = 0.02, 512, 33, 0.1, 20.0
 #: Sizes of work only, without effect on results: bytes of text at once, windows merged at once, windows of a stretch.
-_CHUNK, _BUFFER, _STRETCH = 1 << 19, 1 << 20, 64 * STEP
+_CHUNK, _BUFFER, _STRETCH = 1 << 19, 1 << 20, 1 << 14
 ORDERS = len(SLOT_BITS)
 _BASE = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])  # all orders' slots stand in one row
 _SLOTS = int(_BASE[-1])
@@ -105,7 +110,7 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class Model:
     """table: log odds of all orders' slots; gate1, gate2: weights by node and by last byte; refine: probabilities."""
 
-    table: np.ndarray
+    table: np.ndarray | None
     gate1: np.ndarray
     gate2: np.ndarray
     refine: np.ndarray
@@ -133,48 +138,53 @@ class Model:
         return out
 
 
-def fresh(table: np.ndarray) -> Model:
+def fresh(table: np.ndarray | None) -> Model:
     squash = 1 / (1 + np.exp(-(np.arange(LEVELS) * 24 / (LEVELS - 1) - 12)))
     return Model(table, np.full((256, ORDERS), 0.3), np.full((256, ORDERS), 0.3), np.tile(squash, 256 * 256 + 1))
 
 
-def learn(zeros: np.ndarray, ones: np.ndarray, texts: list[bytes]) -> Model:
-    """Weights and adaptive map by online steps over whole texts, which the slots' zeros and ones hold too."""
-    model = fresh(stretched(zeros, ones).astype(np.float32, copy=False))
-    for text in texts:
-        whole, _ = coded(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        own, times = np.unique(whole, return_counts=True)
-        for sign in (-1, 1):  # its own counts out, and in again behind it
-            for i in range(0, len(own), _STRETCH):
-                add_slots(own[i : i + _STRETCH], sign * times[i : i + _STRETCH], zeros, ones)
-            if sign < 0:
-                for i in range(0, len(whole), _STRETCH):
-                    _step(model, whole[i : i + _STRETCH], zeros, ones)
-    np.clip(model.refine, 1e-5, 1 - 1e-5, out=model.refine)
-    return model
-
-
-def _step(model: Model, windows: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
-    """Online steps over a stretch of a text, whose own counts are out of the slots."""
-    last = (windows >> np.uint64(8) & np.uint64(255)).astype(np.int64)
+def _left_out(windows: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (order, window x bit) from counts without one occurrence of the window; nodes, last bytes and bits."""
     bits = list(slots(windows))
-    known = [stretched(np.maximum(zeros[at], 0).astype(np.float64), np.maximum(ones[at], 0)) for _, _, _, at in bits]
-    inputs = np.moveaxis(np.stack(known), 0, 2)  # order, window, bit
-    node = np.stack([n for _, n, _, _ in bits], axis=1)
-    bit = np.stack([b for _, _, b, _ in bits], axis=1)
-    for i in range(0, len(windows), STEP):
-        x = inputs[:, i : i + STEP].reshape(ORDERS, -1)
-        n, y = node[i : i + STEP].ravel(), bit[i : i + STEP].ravel()
-        c = np.repeat(last[i : i + STEP], 8)
-        s = model.mixed(x, n, c)
-        wrong = y - 1 / (1 + np.exp(-s))
-        for k in range(ORDERS):
-            g = RATE * wrong * x[k]
+    known = [stretched(np.maximum(zeros[at] - ~bit, 0), np.maximum(ones[at] - bit, 0)) for _, _, bit, at in bits]
+    inputs = np.moveaxis(np.stack(known), 0, 2).reshape(ORDERS, -1)
+    node = np.stack([n for _, n, _, _ in bits], axis=1).ravel()
+    last = np.repeat((windows >> np.uint64(8) & np.uint64(255)).astype(np.int64), 8)
+    return inputs, node, last, np.stack([b for _, _, b, _ in bits], axis=1).ravel()
+
+
+def learn(model: Model, windows: np.ndarray, times: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
+    """Online steps of the weights over windows that occur so many times, in the order of a hash."""
+    order = np.argsort(windows * _NODE, kind="stable")
+    for a in range(0, len(order), _STRETCH):
+        part = order[a : a + _STRETCH]
+        inputs, node, last, bit = _left_out(windows[part], zeros, ones)
+        weight = np.repeat(times[part].astype(np.float64), 8)
+        for i in range(0, 8 * len(part), 8 * STEP):
+            x, n, c, w = inputs[:, i : i + 8 * STEP], node[i : i + 8 * STEP], last[i : i + 8 * STEP], weight[i : i + 8 * STEP]
+            wrong = (bit[i : i + 8 * STEP] - 1 / (1 + np.exp(-model.mixed(x, n, c)))) * w
             for gate, at in ((model.gate1, n), (model.gate2, c)):
-                gate[:, k] += np.bincount(at, weights=g, minlength=256) / np.sqrt(np.maximum(1, np.bincount(at, minlength=256)))
-        _, cell, part = model.refined(s, n, c)
-        for at, share in ((cell, 1 - part), (cell + 1, part)):
-            model.refine[at] += MAP_RATE * share * (y - model.refine[at])
+                # the mean step of the rows that select a weight, times the root of their number
+                scale = RATE * np.sqrt(np.bincount(at, minlength=256)) / np.maximum(np.bincount(at, weights=w, minlength=256), 1e-9)
+                for k in range(ORDERS):
+                    gate[:, k] += scale * np.bincount(at, weights=wrong * x[k], minlength=256)
+
+
+def cells(model: Model, windows: np.ndarray, times: np.ndarray, zeros: np.ndarray, ones: np.ndarray, sums: np.ndarray, shares: np.ndarray) -> None:
+    """Add to the map's cells the occurrences that fall to them, and those of a one."""
+    for a in range(0, len(windows), _STRETCH):
+        inputs, node, last, bit = _left_out(windows[a : a + _STRETCH], zeros, ones)
+        weight = np.repeat(times[a : a + _STRETCH].astype(np.float64), 8)
+        _, cell, part = model.refined(model.mixed(inputs, node, last), node, last)
+        for at, share in ((cell, weight * (1 - part)), (cell + 1, weight * part)):
+            np.add.at(shares, at, share)
+            np.add.at(sums, at[bit], share[bit])
+
+
+def refine(model: Model, at: np.ndarray, sums: np.ndarray, shares: np.ndarray) -> None:
+    """The map from its cells' sums; a cell begins with FIRM occurrences at the squashed prediction."""
+    model.refine[at] = (sums + FIRM * model.refine[at]) / (shares + FIRM)
+    np.clip(model.refine, 1e-5, 1 - 1e-5, out=model.refine)
 
 
 class _Memory:
@@ -277,29 +287,79 @@ class Trained:
     distinct: int
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Trained:
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        yield batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+
+
+def mixer(seen: DataFrame, zeros: np.ndarray, ones: np.ndarray, passes: int = PASSES) -> Model:
+    """Weights and adaptive map from all of ``seen`` (key, n): windows with their numbers of occurrences."""
+    sc = seen.sparkSession.sparkContext
+    counts = sc.broadcast((zeros, ones))  # tables of fixed size
+    model = fresh(None)
+    for _ in range(passes):
+        gates = model.gate1, model.gate2
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = fresh(None)
+            own.gate1, own.gate2 = (g.copy() for g in gates)  # noqa: B023  the pass is over before the next begins
+            total = 0
+            for windows, times in _windows(batches):
+                learn(own, windows, times, *counts.value)
+                total += int(times.sum())
+            if total:
+                both = np.concatenate([own.gate1.ravel(), own.gate2.ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(both), dtype=np.int32)), pa.array(both * total), pa.array(np.full(len(both), float(total)))], names=["at", "x", "w"])
+
+        rows = map_arrow(seen, run, "at int, x double, w double").groupBy("at").agg((F.sum("x") / F.sum("w")).alias("x")).toArrow()
+        if rows.num_rows:
+            both = np.zeros(2 * 256 * ORDERS)
+            both[rows["at"].to_numpy()] = rows["x"].to_numpy()
+            model.gate1, model.gate2 = both.reshape(2, 256, ORDERS)
+    gates = model.gate1, model.gate2
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = fresh(None)
+        own.gate1, own.gate2 = gates
+        sums, shares = np.zeros(len(own.refine)), np.zeros(len(own.refine))
+        for windows, times in _windows(batches):
+            cells(own, windows, times, *counts.value, sums, shares)
+        used = np.flatnonzero(shares)
+        for i in range(0, len(used), 1 << 17):
+            at = used[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at]), pa.array(shares[at])], names=["at", "x", "w"])
+
+    # at most one row a cell, whatever the corpus
+    rows = map_arrow(seen, add, "at int, x double, w double").groupBy("at").agg(F.sum("x").cast("float").alias("x"), F.sum("w").cast("float").alias("w")).toArrow()
+    refine(model, rows["at"].to_numpy(), rows["x"].to_numpy().astype(np.float64), rows["w"].to_numpy().astype(np.float64))
+    counts.unpersist()
+    return model
+
+
+def train(docs: DataFrame) -> Trained:
     """Learn from all rows of ``docs`` (doc_id, text)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    seen = materialise(map_arrow(texts.select("text"), _count, "kind int, key long, n long"), "seen")
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    seen = materialise(map_arrow(texts, _count, "kind int, key long, n long"), "seen")
     tokens = materialise(seen.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c")).select(F.col("key").alias("token"), "c"), "tokens")
     # windows meet by their last three context bytes, so that most slots (orders 3 to 5) are summed in one task and a
     # common pair of letters is dealt over many; rows of slots go straight to their sums, without partial ones
-    windows = seen.filter("kind = 1").select("key", "n").repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF)))
-    counted = map_arrow(windows, _to_slots, "slot int, n long, m long").repartition("slot").groupBy("slot").agg(F.sum("n").cast("float").alias("n"), F.sum("m").cast("float").alias("m"))
+    windows = seen.filter("kind = 1").select("key", "n")
+    dealt = windows.repartition(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF)))
+    counted = map_arrow(dealt, _to_slots, "slot int, n long, m long").repartition("slot").groupBy("slot").agg(F.sum("n").cast("float").alias("n"), F.sum("m").cast("float").alias("m"))
     table = counted.toArrow()  # at most one row per slot, whatever the corpus
     zeros, ones = np.zeros(_SLOTS, np.float32), np.zeros(_SLOTS, np.float32)
     for batch in table.to_batches():
         at = batch["slot"].to_numpy()
         zeros[at], ones[at] = batch["n"].to_numpy(), batch["m"].to_numpy()
     del table
-    sums = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("token") == int(_END), F.col("c"))).alias("docs")).first()
-    share = min(1.0, sample / sums["docs"]) if sums["docs"] else 0.0
-    chosen = texts.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1_000_000)) < int(share * 1_000_000)).orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    return Trained(learn(zeros, ones, [r["text"].encode() for r in chosen.select("text").collect()]), tokens, sums["n"] or 0, sums["v"])
+    model = mixer(windows, zeros, ones)
+    model.table = stretched(zeros, ones).astype(np.float32, copy=False)
+    sums = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    return Trained(model, tokens, sums["n"] or 0, sums["v"])
 
 
 def score(docs: DataFrame, trained: Trained, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, n_known, base_score, score`` for every row, with the columns of ``keep``."""
+    """``doc_id, n_bytes, n_tokens, n_known, base_score, score`` for every row, with the columns of ``keep`` as kept_0 …."""
     spark = docs.sparkSession
     floor = 0.1
     bottom = np.log10(trained.total + floor * (trained.distinct + 1))
@@ -313,8 +373,8 @@ def score(docs: DataFrame, trained: Trained, keep: tuple[str, ...] = ()) -> Data
     costs[at] = np.log10(head["c"].to_numpy()[first] + floor) - bottom
     shared = spark.sparkContext.broadcast((trained.model, places, costs))  # tables of fixed size
 
-    kept = [f"kept_{c}" for c in keep]
-    schema = "uid long, doc_id long" + "".join(f", kept_{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", n_bytes long, n_tokens long, head_known long, head_score double, score double, tail array<long>"
+    kept_names = [f"kept_{k}" for k in range(len(keep))]
+    schema = "uid long, doc_id long" + "".join(f", kept_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)) + ", n_bytes long, n_tokens long, head_known long, head_score double, score double, tail array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, places, costs = shared.value
@@ -337,13 +397,13 @@ def score(docs: DataFrame, trained: Trained, keep: tuple[str, ...] = ()) -> Data
                 bits = np.add.reduceat(memory.of(windows), spans[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(c)[i:j] for c in (0, 1, *range(3, 3 + len(kept)))), pa.array(np.diff(offsets)), pa.array(counts + 1), pa.array(known),
+                        *(batch.column(c)[i:j] for c in (0, 1, *range(3, 3 + len(keep)))), pa.array(np.diff(offsets)), pa.array(counts + 1), pa.array(known),
                         pa.array(own), pa.array(bits), tail,
                     ],
-                    names=[c.split()[0] for c in schema.split(", ")],
+                    names=["uid", "doc_id", *kept_names, "n_bytes", "n_tokens", "head_known", "head_score", "score", "tail"],
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *kept(keep))
     scored = materialise(map_arrow(rows, run, schema), "scored")
     shared.unpersist()  # what was scored is written
     tails = scored.select("uid", F.explode("tail").alias("token")).groupBy("uid", "token").agg(F.count("*").alias("times")).join(trained.tokens, "token", "left")
@@ -351,7 +411,7 @@ def score(docs: DataFrame, trained: Trained, keep: tuple[str, ...] = ()) -> Data
     sums = tails.groupBy("uid").agg(F.sum(F.col("times") * one).alias("tail_score"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
     out = scored.drop("tail").join(sums, "uid", "left")
     return out.select(
-        "doc_id", *kept, "n_bytes", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
+        "doc_id", *kept_names, "n_bytes", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))).alias("base_score"), "score",
     )
 
