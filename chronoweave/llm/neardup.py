@@ -7,8 +7,9 @@ mask. Any r positions leave some v orthogonal to all of them, so two fingerprint
 that differ in at most r bits agree under some mask: no pair is missed. Each of
 the 2**(r+1) - 1 masks is a table; buckets are sorted runs of distinct
 fingerprints, verified inside the task, and give a spanning forest instead of
-pairs. Buckets beyond RUN_LIMIT go another exact way (``_linked_by_neighbours``).
-Components come from edge contraction.
+pairs. Buckets beyond RUN_LIMIT are counted out before any task holds one and go
+another exact way (``_linked_by_neighbours``). Components come from edge
+contraction in rounds that grow with the logarithm of the nodes.
 
 Null texts count as empty. Texts without words have fingerprint zero and are
 linked like any other. Rows with equal fingerprints are one node, so copies cost
@@ -95,20 +96,18 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _link_runs(radius: int, limit: int):
-    """Streams (t, k, fp) sorted by (t, k): links (a, b, t=-1), or a run's members (a=b, t) beyond the limit."""
+def _link_runs(radius: int):
+    """Streams (t, k, fp) sorted by (t, k): links (a, b) inside each run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the open run's fingerprints, at most limit
-        key, size = None, 0
+        held: list[np.ndarray] = []  # the open run's fingerprints
+        key = None
 
-        def out(a: list, b: list, t: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (a, b)] + [pa.array(t, pa.int32())], names=["a", "b", "t"])
+        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in zip(*edges, strict=True)], names=["a", "b"])
 
-        def close() -> list[tuple[int, int, int]]:
-            if size <= limit and size > 1:
-                return [(a, b, -1) for a, b in _forest(np.concatenate(held), radius)]
-            return []
+        def close() -> list[tuple[int, int]]:
+            return _forest(np.concatenate(held), radius) if held else []
 
         for batch in batches:
             t = batch.column(0).to_numpy(zero_copy_only=False)
@@ -117,26 +116,20 @@ def _link_runs(radius: int, limit: int):
             if not len(t):
                 continue
             cuts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1])) + 1, [len(t)]])
-            rows: list[tuple[int, int, int]] = []
+            edges: list[tuple[int, int]] = []
             lengths = np.diff(cuts)
             # runs of one row inside the batch have no link: only the first, the last and longer ones matter
             for n in sorted({0, len(lengths) - 1, *np.flatnonzero(lengths > 1).tolist()}):
                 i, j = int(cuts[n]), int(cuts[n + 1])
                 here = (int(t[i]), int(k[i]))
                 if here != key:
-                    rows += close()
-                    key, held, size = here, [], 0
-                if size + j - i > limit:
-                    for x in [*held, fp[i:j]]:
-                        rows += [(v, v, here[0]) for v in x.tolist()]
-                    held = []
-                else:
-                    held.append(fp[i:j])
-                size += j - i
-            if rows:
-                yield out(*map(list, zip(*rows, strict=True)))
-        if rows := close():
-            yield out(*map(list, zip(*rows, strict=True)))
+                    edges += close()
+                    key, held = here, []
+                held.append(fp[i:j])
+            if edges:
+                yield out(edges)
+        if edges := close():
+            yield out(edges)
 
     return run
 
@@ -166,37 +159,47 @@ def links(nodes: DataFrame, radius: int = RADIUS, run_limit: int = RUN_LIMIT) ->
     """Edges (a, b) whose components are those of all pairs within ``radius``; ``nodes``: distinct ``fp``."""
     masks = covering_masks(radius)
     tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for t, m in enumerate(masks))))
-    rows = nodes.select("fp", tables.alias("x")).select("x.t", "x.k", "fp").repartition("t", "k").sortWithinPartitions("t", "k")
-    found = materialise(map_arrow(rows, _link_runs(radius, run_limit), "a long, b long, t int"), "links")
-    edges = found.filter("t < 0").select("a", "b")
-    hot = found.filter("t >= 0")
-    if not hot.isEmpty():
-        edges = edges.unionByName(_linked_by_neighbours(hot.select("a", "t"), masks, radius))
-    return edges
+    rows = nodes.select("fp", tables.alias("x")).select("x.t", "x.k", "fp")
+    hot = None
+    if nodes.count() > run_limit:  # no bucket is larger than all fingerprints
+        over = materialise(rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter(F.col("n") > run_limit).select("t", "k"), "over")
+        if not over.isEmpty():
+            hot = rows.join(over, ["t", "k"], "left_semi").select(F.col("fp").alias("a"), "t")
+            rows = rows.join(over, ["t", "k"], "left_anti").select("t", "k", "fp")
+    edges = materialise(map_arrow(rows.repartition("t", "k").sortWithinPartitions("t", "k"), _link_runs(radius), "a long, b long"), "links")
+    return edges if hot is None else edges.unionByName(_linked_by_neighbours(hot, masks, radius))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root``: for every node of an edge, one member of its component.
+    """``node, root``: for every node of an edge, the least member of its component.
 
-    Contraction: every node points to its smallest neighbour if that is smaller
-    than itself; edges are rewritten to the nodes pointed to until none is left;
-    then the pointers are followed back. All states are tables keyed by node.
+    A round gives nodes random ranks, lets each point to its neighbour of the
+    least rank if that is less than its own, shortens the pointers twice, and
+    rewrites the edges to the nodes pointed to, until no edge is left: each round
+    leaves a fixed share of the nodes, on any graph. Then the pointers are followed
+    back. All states are tables keyed by node.
     """
     edges = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps: list[DataFrame] = []
     while not edges.isEmpty():
+        ranked = lambda c, n=len(maps): F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("x"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        points = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("to")), "points")
+        points = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("node"), F.least(ranked("a"), "m")["x"].alias("to"))
+        for _ in range(2):
+            points = materialise(points, "points")
+            points = points.join(points.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
+        points = materialise(points, "points")
         maps.append(points)
         moved = edges.join(points.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(points.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
         edges = materialise(moved.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[-1].select("node", F.col("to").alias("root"))
+    out = maps[-1]
     for points in reversed(maps[:-1]):
-        later = out.select(F.col("node").alias("to"), F.col("root").alias("later"))
-        out = points.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("root"))
-    return out
+        later = out.select(F.col("node").alias("to"), F.col("to").alias("later"))
+        out = materialise(points.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("to")), "roots")
+    least = out.groupBy("to").agg(F.min("node").alias("root"))
+    return out.join(least, "to").select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE, run_limit: int = RUN_LIMIT) -> DataFrame:
