@@ -7,8 +7,10 @@ weight S its level is t = floor(ln S / r + beta), and its rank
 ln a = ln c - r (t - beta) - r. The draw keeps the term of the least rank with its
 level. Two texts keep the same (term, level) with a probability that equals their
 generalised Jaccard similarity, so the share of equal samples estimates it.
-The draws' variates come from a fixed table of gamma and uniform variates that
-term and draw index together; equal ranks are settled by the term's hash.
+For a weight of 1 the level is 0 and the rank that of an exponential variate, so a
+hash of term and draw gives that one first, and then r, c and beta from their
+distributions given it: with y = r (1 - beta), exp(y) - 1 is exponential with the
+variate as its rate, and r - y is exponential.
 
 Null texts count as empty, and a text without words has the fingerprint of all
 zeros, which is like itself and nothing else. Texts of one to four words have
@@ -30,20 +32,14 @@ from . import _text
 from ._spark import map_arrow
 
 SAMPLES, SHINGLE = 128, 5
-#: Ranges of ids that the neighbours' query deals out at most.
-RANGES = 4096
+#: Rows of the sample behind each range's limits in the neighbours' query.
+PER_RANGE = 64
 _BLOCK = 512
 
 _rng = np.random.default_rng(5)
-_N = 1 << 16
-_R = _rng.gamma(2.0, 1.0, _N)
-_LNC = np.log(_rng.gamma(2.0, 1.0, _N))
-_BETA = _rng.random(_N)
-#: ln a of a term that occurs once, whose level is 0; the table is in this order.
-_ONCE = _LNC + _R * (_BETA - 1.0)
-_R, _LNC, _BETA, _ONCE = (v[np.argsort(_ONCE, kind="stable")] for v in (_R, _LNC, _BETA, _ONCE))
 _DRAWS = _rng.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _UNDO = np.array([pow(int(d), -1, 1 << 64) for d in _DRAWS], np.uint64)
+_OTHER = np.uint64(0xC3A5C85C97CB3127)
 _LEVEL = np.uint64(0x9FB21C651E98DF25)
 _TOP = np.uint64(48)
 
@@ -51,9 +47,9 @@ _TOP = np.uint64(48)
 def signature(terms: np.ndarray) -> np.ndarray:
     """SAMPLES 16-bit samples of a multiset of 64-bit terms; never 0 but for no terms at all.
 
-    Term times draw (odd, so it can be undone) has the place in the table in its
-    top bits. The table is in the order of ranks, so among terms that occur once
-    the least product is the least rank, and no variate need be fetched.
+    Term times draw (odd, so it can be undone) is a uniform number of 64 bits. Among
+    terms that occur once the least product is the least rank, so that no other
+    variate is needed for them.
     """
     if not len(terms):
         return np.zeros(SAMPLES, np.uint16)
@@ -72,14 +68,14 @@ def signature(terms: np.ndarray) -> np.ndarray:
         np.minimum(least, (terms[i : i + _BLOCK, None] * _DRAWS).min(axis=0), out=least)
     kept = least * _UNDO
     if often is not None:
-        ranks = _ONCE[least >> _TOP] if len(terms) else np.full(SAMPLES, np.inf)
+        ranks = np.log(once(least)) if len(terms) else np.full(SAMPLES, np.inf)
+        draws = np.arange(SAMPLES)
         for i in range(0, len(often), _BLOCK):
             block = often[i : i + _BLOCK]
-            at = (block[:, None] * _DRAWS) >> _TOP
-            r, beta = _R[at], _BETA[at]
+            r, lnc, beta = variates(block[:, None] * _DRAWS)
             level = np.floor(np.log(counts[i : i + _BLOCK])[:, None] / r + beta)
-            rank = _LNC[at] - r * (level - beta) - r
-            first, draws = rank.argmin(axis=0), np.arange(SAMPLES)
+            rank = lnc - r * (level - beta) - r
+            first = rank.argmin(axis=0)
             better = rank[first, draws] < ranks
             ranks = np.where(better, rank[first, draws], ranks)
             kept = np.where(better, block[first] ^ (level[first, draws].astype(np.uint64) * _LEVEL), kept)
@@ -88,6 +84,22 @@ def signature(terms: np.ndarray) -> np.ndarray:
     return samples
 
 
+def once(product: np.ndarray) -> np.ndarray:
+    """The exponential variate of a uniform 64-bit number: a for the weight 1."""
+    return -np.log1p(-(product.astype(np.float64) + 0.5) * 2.0**-64 * (1 - 2.0**-53))
+
+
+def variates(product: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and beta, given the variate for the weight 1."""
+    a = once(product)
+    bits = _text.mix(product ^ _OTHER)
+    e = -np.log(((bits >> np.uint64(32)).astype(np.float64) + 0.5) * 2.0**-32)
+    rest = -np.log(((bits & np.uint64(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32)
+    y = np.log1p(e / a)
+    r = y + rest
+    return r, np.log(a) + y, rest / r
+
+
 def signatures(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     """One row of samples for each text."""
     out = np.empty((len(texts), SAMPLES), np.uint16)
@@ -129,36 +141,44 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 def op1_fingerprint(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness.
 
-    Neighbours in ascending doc_id (null ids first, repeated ids by text) meet
-    without a global window: ids are dealt out by at most RANGES quantiles, each
-    range is sorted by itself, and the first rows of a range also go, as echoes,
-    to the end of the range before. Texts travel compressed, once.
+    Neighbours in ascending doc_id (null ids first, repeated ids by a hash of their
+    text) meet without a global window: rows are dealt to ranges of (id, hash), whose
+    limits come from a sample of PER_RANGE rows a range, each range is sorted by
+    itself, and the first row of a range also goes, as an echo, to the end of the
+    range before. Texts travel compressed, once. The driver holds the sample and a
+    pair a range; there are as many ranges as the scan has partitions, at least.
     """
     spark = docs.sparkSession
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_KEY)).alias("key"), F.col("text").cast("string").alias("text"))
-    scans = own.select("key").rdd.getNumPartitions()
-    n = max(1, min(RANGES, max(scans, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    cuts = np.unique(np.array(own.select(F.col("key").cast("double")).approxQuantile("key", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else [], np.float64))
-    limits = cuts[np.abs(cuts) < 2**62].astype(np.int64)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_KEY)).alias("key"), F.xxhash64(text).alias("h"), text.alias("text"))
+    n = max(own.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    limits = _limits(own, n)
     firsts = _firsts(own, limits)
-    before = [r for r, _ in firsts[-1:] + firsts[:-1]]  # the first range comes after the last
-    echo = {key: r for (_, key), r in zip(firsts, before, strict=True)}
+    before = [r for r, _, _ in firsts[-1:] + firsts[:-1]]  # the first range comes after the last
+    echo = {(key, h): r for (_, key, h), r in zip(firsts, before, strict=True)}
+    heads = np.array(sorted({key for key, _ in echo}), np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
+        sent: set[tuple[int, int]] = set()  # equal rows echo once a task
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            part = np.searchsorted(limits, keys, "right").astype(np.int32)
-            packed = [squeeze((t.as_py() or "").encode()) for t in batch.column(1)]
-            extra = [i for i, k in enumerate(keys.tolist()) if k in echo]
+            keys, hs = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            part = _range_of(keys, hs, *limits)
+            packed = [squeeze(t.as_py().encode()) for t in batch.column(2)]
+            extra = []
+            for i in np.flatnonzero(np.isin(keys, heads)).tolist():
+                pair = int(keys[i]), int(hs[i])
+                if pair in echo and pair not in sent:
+                    sent.add(pair)
+                    extra.append(i)
             take = np.concatenate([np.arange(len(keys)), np.array(extra, np.int64)]).astype(np.int64)
             back = np.zeros(len(take), bool)
             back[len(keys) :] = True
             part = part[take]
-            part[len(keys) :] = [echo[int(keys[i])] for i in extra]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(back), pa.array(keys[take]), pa.array([packed[i] for i in take], pa.binary())], names=["part", "echo", "key", "packed"])
+            part[len(keys) :] = [echo[int(keys[i]), int(hs[i])] for i in extra]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(back), pa.array(keys[take]), pa.array(hs[take]), pa.array([packed[i] for i in take], pa.binary())], names=["part", "echo", "key", "h", "packed"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -167,7 +187,7 @@ def op1_fingerprint(docs: DataFrame) -> DataFrame:
 
         def texts() -> Iterator[tuple[int, bool, int, str]]:
             for batch in batches:
-                for part, back, key, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for part, back, key, _, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     yield part, back, key, open_text(packed).decode()
 
         def pairs() -> Iterator[tuple[int, str, str]]:
@@ -209,25 +229,47 @@ def op1_fingerprint(docs: DataFrame) -> DataFrame:
         if rows:
             yield result(rows)
 
-    dealt = map_arrow(own, deal, "part int, echo boolean, key long, packed binary")
-    return map_arrow(dealt.repartition(n, "part").sortWithinPartitions("part", "echo", "key", "packed"), compare, RESULT)
+    dealt = map_arrow(own, deal, "part int, echo boolean, key long, h long, packed binary")
+    return map_arrow(dealt.repartitionById(n, F.col("part")).sortWithinPartitions("part", "echo", "key", "h"), compare, RESULT)
+
+
+def _limits(own: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Limits (id, hash) of at most ``n`` ranges of about equally many rows, from a sample of rows by their place."""
+    rows = own.count()
+    share = min(1.0, PER_RANGE * n / max(rows, 1))
+    at = F.pmod(F.xxhash64("place"), F.lit(1 << 40)) < int(share * (1 << 40))
+    some = own.select("key", "h", F.monotonically_increasing_id().alias("place")).filter(at).select("key", "h").toArrow()
+    pairs = sorted(zip(some["key"].to_pylist(), some["h"].to_pylist(), strict=True))
+    cuts = sorted({pairs[len(pairs) * i // n] for i in range(1, n)}) if pairs else []
+    return np.array([k for k, _ in cuts], np.int64), np.array([h for _, h in cuts], np.int64)
+
+
+def _range_of(keys: np.ndarray, hs: np.ndarray, cut_keys: np.ndarray, cut_hs: np.ndarray) -> np.ndarray:
+    """How many limits are not above each (id, hash)."""
+    part = np.searchsorted(cut_keys, keys, "left")
+    upto = np.searchsorted(cut_keys, keys, "right")
+    for key in np.unique(keys[upto > part]).tolist():  # ids that limits share with rows: their hashes decide
+        own = keys == key
+        i, j = np.searchsorted(cut_keys, key, "left"), np.searchsorted(cut_keys, key, "right")
+        part[own] += np.searchsorted(cut_hs[i:j], hs[own], "right")
+    return part.astype(np.int32)
 
 
-def _firsts(own: DataFrame, limits: np.ndarray) -> list[tuple[int, int]]:
-    """(range, least key) of every range that has rows, in order: at most RANGES pairs."""
+def _firsts(own: DataFrame, limits: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """(range, least id, its least hash) of every range that has rows, in order."""
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
+        found: dict[int, tuple[int, int]] = {}
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = np.searchsorted(limits, keys, "right")
-            order = np.lexsort((keys, parts))
-            parts, keys = parts[order], keys[order]
-            for i in np.flatnonzero(np.diff(parts, prepend=-1)):
-                p, k = int(parts[i]), int(keys[i])
-                found[p] = min(k, found.get(p, k))
+            keys, hs = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            parts = _range_of(keys, hs, *limits)
+            order = np.lexsort((hs, keys, parts))
+            for i in order[np.flatnonzero(np.diff(parts[order], prepend=-1))].tolist():
+                p, pair = int(parts[i]), (int(keys[i]), int(hs[i]))
+                found[p] = min(pair, found.get(p, pair))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["part", "key"])
+            columns = zip(*((p, *pair) for p, pair in found.items()), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["part", "key", "h"])
 
-    rows = map_arrow(own.select("key"), least, "part int, key long").groupBy("part").agg(F.min("key").alias("key")).collect()
-    return sorted((r["part"], r["key"]) for r in rows)
+    rows = map_arrow(own.select("key", "h"), least, "part int, key long, h long").groupBy("part").agg(F.min(F.struct("key", "h")).alias("x")).collect()
+    return sorted((r["part"], r["x"]["key"], r["x"]["h"]) for r in rows)
