@@ -26,6 +26,7 @@ id and text columns are read, so others may have any name.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import struct
 import zlib
@@ -49,7 +50,7 @@ LATIN = regex.compile(f"[\x20-\x7e\xa1-{chr(LAST_LATIN)}]*")
 #: White space inside runs, which normalising would turn into a cut or drop.
 INNER_SPACE = regex.compile(r"[^\S\x20]")
 #: Rows of a range that one task sweeps.
-RANGE_ROWS = 1 << 17
+RANGE_ROWS = 1 << 19
 #: A round over many ranges takes the pieces longer than this part of the longest.
 REACH = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -72,6 +73,8 @@ class WordTokenizer:
     Where the vocabulary is a byte-level BPE over the matches of a pattern, runs
     of Latin letters are cut by that pattern here and only unseen matches go to
     the BPE; any other run, or one that holds an added token, is encoded whole.
+    Where its tokens are ranked by their ids and words end in a mark, all unseen
+    matches of a batch go through the BPE in one call (see ``_ranked``).
     """
 
     def __init__(self, path: str):
@@ -82,14 +85,19 @@ class WordTokenizer:
         self.older: dict[bytes, bytes] = {}
         self.matches: dict[str, bytes] = {}
         self.model = self.tokenizer.model
-        self.pattern = self._pattern()
+        form = json.loads(self.tokenizer.to_str())
+        self.pattern = self._pattern(form)
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # every byte of UTF-8 and the sign that stands for it
+        text = "".join(map(chr, (*range(0x800), *range(0x800, 0x10000, 0x1000), *range(0x10000, 0x110000, 0x10000)))).encode("utf-8", "ignore").decode()
+        self.signs = dict(zip(level.pre_tokenize_str(text)[0][0], text.encode(), strict=True))
         self.as_bytes = {i: level.pre_tokenize_str(chr(i))[0][0] for i in range(LAST_LATIN + 1)}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.quick, self.last = self._ranked(form["model"]) if self.pattern is not None else (None, None)
 
-    def _pattern(self) -> regex.Pattern | None:
+    @staticmethod
+    def _pattern(form: dict) -> regex.Pattern | None:
         """The pattern of matches that the BPE gets one by one, if the vocabulary is of that form."""
-        form = json.loads(self.tokenizer.to_str())
         steps = (form.get("pre_tokenizer") or {}).get("pretokenizers", [])
         if form["model"]["type"] != "BPE" or not form.get("normalizer") or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
             return None
@@ -98,14 +106,47 @@ class WordTokenizer:
             return None
         return regex.compile(cut["pattern"]["Regex"])
 
-    def _of_match(self, match: str) -> bytes:
-        if len(self.matches) > REMEMBERED:
-            self.matches.clear()
-        tokens = self.model.tokenize(match.translate(self.as_bytes))
-        ids = self.matches[match] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return ids
+    def _ranked(self, model: dict):
+        """The BPE as one of bytes, with a space for the mark at a word's end; and which ids end a word.
+
+        A match is followed by one space, which no match holds. A byte and the space
+        have lower ranks than all merges, so they become the byte with the mark first.
+        """
+        import tiktoken
+
+        end, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+        merged = [vocabulary["".join(m)] for m in model["merges"]]
+        plain = not (model.get("continuing_subword_prefix") or model.get("dropout") or model.get("ignore_merges") or model.get("byte_fallback"))
+        if not end or not plain or merged != sorted(set(merged)) or len(vocabulary) - len(merged) != 512 or max(merged) != len(vocabulary) - 1:
+            return None, None
+        every = {self.as_bytes[i]: i for i in range(0x80)} | self.signs
+        lost = [t for t in vocabulary if len(t.removesuffix(end)) == 1 and t.removesuffix(end) not in every]
+        spare = iter(sorted(set(range(256)) - set(every.values())))  # bytes that UTF-8 never has
+        every |= {t: next(spare) for t in sorted({t.removesuffix(end) for t in lost})}
+        last = np.zeros(len(vocabulary), bool)
+        ranks = {}
+        for token, i in vocabulary.items():
+            bare = token.removesuffix(end)
+            last[i] = bare != token
+            ranks[bytes(every[c] for c in bare) + b" " * int(last[i])] = i
+        if len(ranks) != len(vocabulary):
+            return None, None
+        return tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}), last
+
+    def _encode_matches(self, new: list[str]) -> None:
+        if self.quick is None:
+            for m in new:
+                tokens = self.model.tokenize(m.translate(self.as_bytes))
+                self.matches[m] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            return
+        ids = np.array(self.quick.encode_ordinary(" ".join(new) + " "), "<u4")
+        cuts = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        self.matches.update((m, raw[i:j]) for m, i, j in zip(new, [0, *cuts], cuts, strict=False))
 
     def _learn(self, new: list[bytes]) -> None:
+        if len(self.matches) > REMEMBERED:
+            self.matches.clear()
         runs = [r.decode() for r in new]
         joined = " ".join(runs)
         quick = self.pattern is not None and not INNER_SPACE.search(joined)
@@ -115,10 +156,14 @@ class WordTokenizer:
         if quick and len(plain) == len(runs):
             odd = lambda run, text: not LATIN.fullmatch(text) or any(a in run or a in text for a in self.added)
             whole = [i for i, (run, text) in enumerate(zip(runs, plain, strict=True)) if odd(run, text)] if odd(joined, normal) else []
-            known, matches, find, skip = self.known, self.matches, self.pattern.findall, set(whole)
-            for i, text in enumerate(plain):
+            find, skip = self.pattern.findall, set(whole)
+            found = [() if i in skip else (text,) if text.isalpha() else find(text) for i, text in enumerate(plain)]
+            if unseen := {m for ms in found for m in ms if m not in self.matches}:
+                self._encode_matches(list(unseen))
+            known, matches = self.known, self.matches
+            for run, ms, i in zip(new, found, range(len(new)), strict=True):
                 if i not in skip:
-                    known[new[i]] = b"".join([matches.get(m) or self._of_match(m) for m in find(text)])
+                    known[run] = matches[ms[0]] if len(ms) == 1 else b"".join([matches[m] for m in ms])
         if whole:
             for i, e in zip(whole, self.tokenizer.encode_batch_fast([runs[i] for i in whole], add_special_tokens=False), strict=True):
                 self.known[new[i]] = np.array(e.ids, "<u4").tobytes()
@@ -141,6 +186,19 @@ class WordTokenizer:
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _forget() -> None:
+    """Give back what a worker remembers of texts, before it is used for other things."""
+    import ctypes
+    import gc
+
+    if _TOKENIZERS:
+        _TOKENIZERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory unless told
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _tokenizer(path: str) -> WordTokenizer:
     import os
 
@@ -238,6 +296,7 @@ def _swept(capacity: int):
         yield from table(_GAP, group, nth, seqs[still], left[still], none(len(still)), none(len(still)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
         held: list[list[np.ndarray]] = [[], [], []]
         at = None
         for batch in batches:
@@ -285,7 +344,8 @@ def _round(rows: DataFrame, n: int, capacity: int, range_rows: int) -> tuple[lis
     """One round over ``rows`` (what, id, size), n in number: tables that hold placed rows, and the rows that stay."""
     spark, sweep = rows.sparkSession, _swept(capacity)
     by_size = [F.col("size").desc(), F.col("what").desc(), F.col("id")]
-    ranges = rows.repartitionByRange(max(1, -(-n // range_rows)), *by_size).withColumn("group", F.spark_partition_id())
+    ranges = rows.repartition(1) if n <= range_rows else rows.repartitionByRange(-(-n // range_rows), *by_size)
+    ranges = ranges.withColumn("group", F.spark_partition_id())
     first = materialise(map_arrow(ranges.select("group", "what", "id", "size").sortWithinPartitions("group", *by_size), sweep, _ROWS), "swept")
     left = first.filter((F.col("what") == _PIECE) | (F.col("nth") >= 0)).groupBy("group").agg(
         F.count_if(F.col("what") == _PIECE).alias("pieces"), F.max(F.when(F.col("what") == _PIECE, F.col("size"))).alias("longest"),
