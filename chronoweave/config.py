@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from dataclasses import dataclass, replace
 
+#: Providers whose answers come with probabilities.
+PROVIDERS_WITH_LABELS = ("openai", "groq")
 FILTER_MODES = ("none", "static", "time-aware")
 
 
@@ -21,6 +23,18 @@ def filter_mode(raw: str | None) -> str:
     return mode
 
 
+def label_scores(env: dict[str, str]) -> bool:
+    """Whether answers are picked by label scores: as told, else as the provider can."""
+    told = env.get("USE_LOGPROB_PREDICTION", "")
+    return truthy(told) if told.strip() else env.get("LLM_PROVIDER", "openai").strip().lower() in PROVIDERS_WITH_LABELS
+
+
+def numbers(text: str | None, default: tuple, kind=int) -> tuple:
+    """A list of numbers between commas; nothing at all means the default."""
+    return tuple(kind(x) for x in text.split(",") if x.strip()) if text and text.strip() else default
+
+
+#: Names of settings in an environment and their defaults are fixed values: users' environments hold them.
 @dataclass(frozen=True)
 class Settings:
     """short: l; total: L; alpha: the threshold's exponent; day_cap, event_cap: newest days and last events of a day (0: all)."""
@@ -32,6 +46,7 @@ class Settings:
     event_cap: int = 64
     use_short: bool = True
     use_long: bool = True
+    use_analogies: bool = True
     analogies: int = 1
     min_contexts: int = 300
     min_history: int | None = None
@@ -42,6 +57,7 @@ class Settings:
     max_scored: int = 512
     chunk: int = 32
     filter: str = "none"
+    label_scores: bool = True
 
     @property
     def least_history(self) -> int:
@@ -61,6 +77,8 @@ class Settings:
             analogies=number("NUM_ANALOGICAL_EXAMPLES", 1), min_contexts=number("MIN_HISTORY_CONTEXTS", 300),
             second_order=truthy(e.get("USE_SECOND_ORDER_CANDIDATES")), adaptive=truthy(e.get("ADAPTIVE_CANDIDATES")),
             min_candidates=number("ADAPTIVE_MIN_CANDIDATES", 3), confidence=number("ADAPTIVE_CONFIDENCE_THRESHOLD", 0.0, float), filter=filter_mode(e.get("EVAL_FILTER")),
+            max_scored=number("MAX_LOGPROB_CANDIDATES", 512), chunk=number("LLM_SCORE_CHUNK_SIZE", 32),
+            min_history=number("MIN_SIMILAR_HISTORY_LENGTH", None), label_scores=label_scores(e),
         )
 
 

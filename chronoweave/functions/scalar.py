@@ -11,6 +11,11 @@ from .phrases import IRREGULAR, PHRASES, PREPOSITIONS
 FIRST_DAY, LAST_DAY = "2005-01-01", 2_920_112
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space on either side (all Unicode spaces)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -89,6 +94,16 @@ def softmax(score: Column, *by: str) -> Column:
     return e / F.sum(e).over(w)
 
 
+def softmax_of(logits: Column) -> Column:
+    """Softmax of an array; the same for all where it has no sum."""
+
+    def shares(e: Column) -> Column:
+        total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+        return F.transform(e, lambda x: F.when((total > 0) & ~F.isnan(total), x / total).otherwise(1.0 / F.size(e)))
+
+    return let(F.transform(logits, lambda x: F.exp(x - F.array_max(logits))), shares)
+
+
 def threshold(events: Column, delta: Column, span: Column, alpha: Column) -> Column:
     """1/F + (1 - 1/F) (delta / T)^alpha; 1/F for an empty span."""
     floor = F.lit(1.0) / events
@@ -110,5 +125,16 @@ def unquote(text: Column) -> Column:
     return F.regexp_replace(strip(text), r"""^(?s)(["'])(.*)\1$""", "$2")
 
 
+def encode_scores(labels: Column, probs: Column) -> Column:
+    """Labels and their probabilities as one JSON text, as a cache keeps them."""
+    return F.to_json(F.struct(labels.alias("labels"), probs.alias("probs")))
+
+
+def decode_scores(text: Column) -> Column:
+    """``encode_scores`` undone: a struct of labels and probs; null for any other text."""
+    return F.from_json(text, "labels array<string>, probs array<double>")
+
+
 def templates(spark: SparkSession) -> DataFrame:
+    """The table of known phrases, for a caller who joins it."""
     return spark.createDataFrame(list(PHRASES.items()), "relation_norm string, phrase string")

@@ -10,38 +10,43 @@ from .history import neighbours
 NOT_ANSWERS = ("?", "None", "null", "")
 
 
-def first_order(history: DataFrame) -> DataFrame:
-    """``query_id, candidate``: distinct other sides of the question's history."""
-    return neighbours(history).filter(~F.col("neighbour").isin(*NOT_ANSWERS)).select("query_id", F.col("neighbour").alias("candidate")).distinct()
+def neighbours_since(ends: DataFrame) -> DataFrame:
+    """``entity, neighbour, since``: distinct pairs and when they first met; null if some event of theirs has no known time."""
+    pairs = neighbours(ends).filter(~F.col("neighbour").isin(*NOT_ANSWERS)).groupBy("entity", "neighbour")
+    return pairs.agg(F.when(F.count("ts") == F.count(F.lit(1)), F.min("ts")).alias("since"))
 
 
-def second_order(queries: DataFrame, history: DataFrame, ends: DataFrame, time_bounded: bool = False) -> DataFrame:
-    """First-order candidates and their neighbours over all events (or those before the question).
+def first_order(queries: DataFrame, ends: DataFrame) -> DataFrame:
+    """``query_id, candidate``: distinct other sides of the events before the question.
+
+    A pair's first event decides, so questions meet distinct neighbours instead of events.
+    """
+    met = queries.select("query_id", "sq", "tq").join(neighbours_since(ends), F.col("sq") == F.col("entity"))
+    return met.filter("tq is null or since is null or since < tq").select("query_id", F.col("neighbour").alias("candidate"))
+
+
+def second_order(queries: DataFrame, one: DataFrame, ends: DataFrame, time_bounded: bool = False) -> DataFrame:
+    """First-order candidates ``one`` and their neighbours over all events (or those before the question).
 
     Neighbourhoods are made distinct before the join, so a busy pair of entities
     counts once.
     """
-    one = first_order(history)
-    hop = neighbours(ends).filter(~F.col("neighbour").isin(*NOT_ANSWERS))
+    asked = one.join(queries.select("query_id", "sq", "tq"), "query_id").withColumnRenamed("candidate", "entity")
     if time_bounded:
-        hop = hop.groupBy("entity", "neighbour").agg(F.min("ts").alias("since"))
-        asked = one.join(queries.select("query_id", "sq", "tq"), "query_id").withColumnRenamed("candidate", "entity")
-        two = asked.join(hop, "entity").filter("tq is null or since < tq")
+        two = asked.join(neighbours_since(ends), "entity").filter("tq is null or since < tq")
     else:
-        asked = one.join(queries.select("query_id", "sq"), "query_id").withColumnRenamed("candidate", "entity")
-        two = asked.join(hop.select("entity", "neighbour").distinct(), "entity")
+        hop = neighbours(ends).filter(~F.col("neighbour").isin(*NOT_ANSWERS)).select("entity", "neighbour").distinct()
+        two = asked.join(hop, "entity")
     two = two.filter("neighbour <> sq").select("query_id", F.col("neighbour").alias("candidate"))
     return one.unionByName(two).distinct()
 
 
-def adaptive(queries: DataFrame, history: DataFrame, ends: DataFrame, least: int = 3) -> DataFrame:
+def adaptive(queries: DataFrame, one: DataFrame, ends: DataFrame, least: int = 3) -> DataFrame:
     """``query_id, candidate, second``: second-order sets only for questions with fewer than ``least`` first-order ones."""
-    one = first_order(history)
     sizes = queries.select("query_id").join(one.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
     few = sizes.filter(F.col("n") < least).select("query_id")
     enough = one.join(few, "query_id", "left_anti").withColumn("second", F.lit(False))
-    small = history.join(few, "query_id", "left_semi")
-    wide = second_order(queries.join(few, "query_id", "left_semi"), small, ends).withColumn("second", F.lit(True))
+    wide = second_order(queries.join(few, "query_id", "left_semi"), one.join(few, "query_id", "left_semi"), ends).withColumn("second", F.lit(True))
     return enough.unionByName(wide)
 
 

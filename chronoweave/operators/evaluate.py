@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import filter_mode
@@ -22,12 +22,11 @@ def filtered_ranks(ranks: DataFrame, queries: DataFrame, quads: DataFrame, mode:
     rows = ranks.join(queries.select("query_id", "sq", "rq", "tq_raw", "ground_truth"), "query_id")
     if mode == "none":
         return rows.drop("sq", "rq", "tq_raw")
-    facts = known_answers(quads, mode).withColumnRenamed("ts_raw", "at") if mode == "time-aware" else known_answers(quads, mode)
+    facts = known_answers(quads, mode).withColumnsRenamed({"ts_raw": "at"}).withColumn("known", F.lit(True))
     same = (F.col("sq") == F.col("subject")) & (F.col("rq") == F.col("relation")) & (F.col("candidate") == F.col("object"))
     if mode == "time-aware":
         same = same & (F.col("tq_raw") == F.col("at"))
-    others = rows.filter("candidate <> ground_truth").join(facts, same, "left_anti")
-    kept = others.unionByName(rows.filter("candidate = ground_truth"))
+    kept = rows.join(facts, same, "left").filter("known is null or candidate = ground_truth").select(*rows.columns)
     w = Window.partitionBy("query_id").orderBy("rank")
     return kept.withColumn("rank", F.row_number().over(w)).drop("sq", "rq", "tq_raw")
 
@@ -52,23 +51,50 @@ def posthoc(records: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("evaluated"), *(F.coalesce(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), F.lit(0.0)).alias(f"hit_at_{k}") for k in (1, 10)))
 
 
+ABLATIONS = {
+    "full": {}, "without_long_term": {"use_long": False}, "without_short_term": {"use_short": False}, "without_analogies": {"use_analogies": False},
+}
+
+
 def ablations(queries: DataFrame) -> DataFrame:
     """Every question under four settings: all, and without long term, short term or analogies."""
-    spark = queries.sparkSession
-    rows = [("full", True, True, True), ("without_long_term", True, False, True), ("without_short_term", False, True, True), ("without_analogies", True, True, False)]
-    settings = spark.createDataFrame([(n, i, *r) for i, (n, *r) in enumerate(rows)], "setting string, setting_id int, use_short boolean, use_long boolean, use_analogies boolean")
-    return _under(queries, settings)
+    return under(queries, {name: {"use_short": True, "use_long": True, "use_analogies": True} | off for name, off in ABLATIONS.items()})
 
 
 def sweep(queries: DataFrame, totals=(50, 100, 150), shorts=(10, 20, 30), alphas=(2.25, 2.75, 3.0)) -> DataFrame:
     """Every question under all combinations of L, l and alpha: one job for the whole grid."""
-    grid = [(f"L={a},l={b},alpha={c}", i, a, b, float(c)) for i, (a, b, c) in enumerate(product(totals, shorts, alphas))]
-    return _under(queries, queries.sparkSession.createDataFrame(grid, "setting string, setting_id int, total int, l int, alpha double"))
+    return under(queries, {f"L={a},l={b},alpha={c}": {"total": a, "l": b, "alpha": float(c)} for a, b, c in product(totals, shorts, alphas)})
+
+
+def under(queries: DataFrame, settings: dict[str, dict]) -> DataFrame:
+    """A row of a question for each setting, with ``base_id``, ``setting`` and an id of its own: base_id x settings + the setting's place."""
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("setting"), F.lit(i).alias("setting_id"), *(F.lit(v).alias(k) for k, v in s.items())) for i, (name, s) in enumerate(settings.items()))))
+    replaced = {k for s in settings.values() for k in s}
+    rows = queries.drop(*replaced).withColumn("s_", each).select(*(c for c in queries.columns if c not in replaced), "s_.*")
+    return rows.withColumn("base_id", F.col("query_id")).withColumn("query_id", F.col("query_id") * len(settings) + F.col("setting_id"))
+
+
+def window(queries: DataFrame, start: int = 0, n: int = 0) -> DataFrame:
+    """Questions [start, start + n) in the order of their ids; n of 0 or less: all from start on."""
+    rows = queries.orderBy("query_id").offset(start)
+    return rows.limit(n) if n > 0 else rows
+
+
+def first_question(quads: DataFrame) -> DataFrame:
+    """The first event as a question, its object hidden."""
+    row = quads.orderBy("event_idx").limit(1)
+    return row.select(F.col("event_idx").alias("query_id"), F.col("subject").alias("sq"), F.col("relation").alias("rq"), F.col("relation_norm").alias("rq_norm"), F.col("ts_raw").alias("tq_raw"), F.col("ts").alias("tq"), F.col("object").alias("ground_truth"))
+
+
+def speedup(off: Column, on: Column) -> Column:
+    """Times without and with a cache to (speed-up, share saved)."""
+    return F.struct((off / on).alias("speedup"), (1 - on / off).alias("saved"))
 
 
-def _under(queries: DataFrame, settings: DataFrame) -> DataFrame:
-    both = queries.crossJoin(F.broadcast(settings))  # a handful of settings
-    return both.withColumn("base_id", F.col("query_id")).withColumn("query_id", F.col("query_id") * 100 + F.col("setting_id"))
+def metrics(ranks: DataFrame, queries: DataFrame, quads: DataFrame, mode: str = "none", *by: str) -> DataFrame:
+    """Rates (``hits``) of ranked candidates under a filter, for each group of questions named by columns of ``queries``."""
+    right = right_ranks(filtered_ranks(ranks, queries, quads, mode), queries)
+    return hits(right.join(queries.select("query_id", *by), "query_id") if by else right, *by)
 
 
 def records(ranks: DataFrame, queries: DataFrame, mode: str = "none") -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.scalar import hash_score, threshold
 
+#: Scores that differ by no more are equal.
+TIED = 1e-9
 EVENT = ("event_idx", "subject", "relation", "relation_norm", "object", "ts_raw", "ts", "day")
 
 
@@ -36,7 +38,7 @@ def entity_history(ends: DataFrame) -> DataFrame:
 
 def with_settings(queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The questions with the settings that they don't carry yet."""
-    values = {"l": s.short, "total": s.total, "alpha": float(s.alpha), "day_cap": s.day_cap, "event_cap": s.event_cap, "use_short": s.use_short, "use_long": s.use_long}
+    values = {"use_analogies": s.use_analogies, "l": s.short, "total": s.total, "alpha": float(s.alpha), "day_cap": s.day_cap, "event_cap": s.event_cap, "use_short": s.use_short, "use_long": s.use_long}
     return queries.withColumns({k: F.lit(v) for k, v in values.items() if k not in queries.columns})
 
 
@@ -53,6 +55,13 @@ def history_before(queries: DataFrame, ends: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(*chronological())))
 
 
+def history_hash(rows: DataFrame) -> DataFrame:
+    """``query_id, digest``: SHA-256 of a history's fields as JSON, in order (``place``)."""
+    event = F.struct("place", F.array("subject", "relation", "object", "ts_raw").alias("fields"))
+    events = F.transform(F.array_sort(F.collect_list(event)), lambda x: x["fields"])
+    return rows.groupBy("query_id").agg(F.sha2(F.to_json(events), 256).alias("digest"))
+
+
 def by_relation(history: DataFrame) -> DataFrame:
     return history.filter(F.col("relation_norm") == F.col("rq_norm"))
 
@@ -77,11 +86,14 @@ def scored_events(rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", hash_score(F.concat_ws("|", "subject", "relation", "object", "ts_raw")))
 
 
-def day_groups(history: DataFrame, scorer=scored_events) -> DataFrame:
+def day_groups(history: DataFrame, scorer=scored_events, chunk: int = 0, like: Column | None = None) -> DataFrame:
     """The long-term pool's events of known time with what the threshold needs.
 
     Adds ref (the question's time, else the pool's last), span T (days, from the
     whole pool, at least 1), F, delta, score, p (softmax in the day) and c (threshold).
+    For a scorer that takes so many events at a time, ``chunk`` numbers them inside
+    a day; a chunk of two events or more whose scores are all equal is scored by
+    ``like`` (a likeness of question and event) instead.
     """
     w = Window.partitionBy("query_id")
     short = F.least(F.when(F.col("use_short"), F.col("l")).otherwise(0), F.max("pos").over(w))
@@ -92,24 +104,30 @@ def day_groups(history: DataFrame, scorer=scored_events) -> DataFrame:
     days = pool.withColumn("day_rank", F.dense_rank().over(w.orderBy(F.col("day").desc()))).filter("day_cap <= 0 or day_rank <= day_cap")
     group = Window.partitionBy("query_id", "day")
     days = days.withColumn("from_last", F.row_number().over(group.orderBy(F.col("pos").desc()))).filter("event_cap <= 0 or from_last <= event_cap")
+    if chunk:
+        days = days.withColumn("chunk", ((F.row_number().over(group.orderBy("pos")) - 1) / chunk).cast("int"))
     days = scorer(days)
+    if chunk and like is not None:
+        together = Window.partitionBy("query_id", "day", "chunk")
+        tied = (F.max("score").over(together) - F.min("score").over(together) <= TIED) & (F.count("*").over(together) > 1)
+        days = days.withColumn("score", F.when(tied, like).otherwise(F.col("score")))
     days = days.withColumn("f", F.count("*").over(group)).withColumn("delta", F.datediff(F.to_date("ref"), "day"))
     e = F.exp(F.col("score") - F.max("score").over(group))
     days = days.withColumn("p", e / F.sum(e).over(group))
     return days.withColumn("c", threshold(F.col("f").cast("double"), F.col("delta").cast("double"), F.col("span").cast("double"), F.col("alpha")))
 
 
-def long_term(history: DataFrame, scorer=scored_events) -> DataFrame:
+def long_term(history: DataFrame, scorer=scored_events, chunk: int = 0, like: Column | None = None) -> DataFrame:
     """Events whose probability reaches the threshold: newest days first, up to L less the short term."""
-    kept = day_groups(history, scorer).filter("p >= c")
+    kept = day_groups(history, scorer, chunk, like).filter("p >= c")
     order = Window.partitionBy("query_id").orderBy(F.col("day").desc(), F.col("pos").asc())
     return kept.withColumn("nth", F.row_number().over(order)).filter("nth <= target").drop("nth")
 
 
-def dual_history(history: DataFrame, scorer=scored_events) -> DataFrame:
+def dual_history(history: DataFrame, scorer=scored_events, chunk: int = 0, like: Column | None = None) -> DataFrame:
     """Long-term and short-term rows in one table, in their final order (``place``): unknown times first, long before short."""
     columns = ["query_id", *EVENT, "pos"]
-    both = long_term(history, scorer).select(*columns, F.lit(0).alias("is_short")).unionByName(short_term(history).select(*columns, F.lit(1).alias("is_short")))
+    both = long_term(history, scorer, chunk, like).select(*columns, F.lit(0).alias("is_short")).unionByName(short_term(history).select(*columns, F.lit(1).alias("is_short")))
     order = Window.partitionBy("query_id").orderBy(F.col("ts").asc_nulls_first(), "is_short", "pos")
     return both.withColumn("place", F.row_number().over(order))
 

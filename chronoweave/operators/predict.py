@@ -12,7 +12,7 @@ from ..config import DEFAULT, Settings
 from ..functions.answers import answer
 from ..functions.scalar import hash_score, softmax
 from . import candidates as cand
-from .history import history_before, with_settings
+from .history import with_settings
 
 
 def candidate_scores(queries: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -53,18 +53,19 @@ def predictions(ranks: DataFrame) -> DataFrame:
 
 
 def forecast(queries: DataFrame, ends: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """Ranked candidates of all questions, with a second pass over those of low confidence if asked for."""
+    """Ranked candidates by scores of question and name alone (``operators.forecast`` asks models with whole prompts),
+    with a second pass over those of low confidence if asked for."""
     queries = with_settings(queries, s)
-    history = history_before(queries, ends)
+    one = cand.first_order(queries, ends)
     if s.second_order:
-        found = cand.second_order(queries, history, ends).withColumn("second", F.lit(True))
+        found = cand.second_order(queries, one, ends).withColumn("second", F.lit(True))
     elif s.adaptive:
-        found = cand.adaptive(queries, history, ends, s.min_candidates)
+        found = cand.adaptive(queries, one, ends, s.min_candidates)
     else:
-        found = cand.first_order(history).withColumn("second", F.lit(False))
+        found = one.withColumn("second", F.lit(False))
     ranks = ranked(candidate_scores(queries, found))
     if s.confidence <= 0 or s.second_order:
         return ranks
     unsure = ranks.groupBy("query_id").agg(F.max("prob").alias("top"), F.max("second").alias("wide")).filter((F.col("top") < s.confidence) & ~F.col("wide")).select("query_id")
-    again = cand.second_order(queries.join(unsure, "query_id", "left_semi"), history.join(unsure, "query_id", "left_semi"), ends).withColumn("second", F.lit(True))
+    again = cand.second_order(queries.join(unsure, "query_id", "left_semi"), one.join(unsure, "query_id", "left_semi"), ends).withColumn("second", F.lit(True))
     return ranks.join(unsure, "query_id", "left_anti").unionByName(ranked(candidate_scores(queries, again)).select(*ranks.columns))

@@ -1,18 +1,36 @@
-"""Sentences, questions and prompts. Wording of the prompts is our own."""
+"""Sentences, questions and prompts. Wording of the prompts is our own; any other can be given."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import date_words, phrases_of, question, sentence
 
 NO_ANALOGIES = "(no analogies)"
 SCORE = "Question: {query}\nWhich of these {n} events help to answer it? Give a score to each.\n{events}"
-ANALOGY = "Events:\n{history}\n\nQuestion: {query}\nAnswer: {answer}\nExplain in a few sentences how the events lead to the answer."
+ANALOGY = "{target}Events:\n{history}\n\nQuestion: {query}\nAnswer: {answer}\nExplain in a few sentences how the events lead to the answer."
 ANSWER = "Answer the last question with the number of one candidate.\n\n{analogies}\n\nEvents:\n{history}\n\nQuestion: {query}\nCandidates:\n{candidates}\nAnswer:"
 
 
+@dataclass(frozen=True)
+class Templates:
+    """Texts with names in braces. score: query, n, events; analogy: history, query, answer, target; answer: analogies, history, query, candidates."""
+
+    score: str = SCORE
+    analogy: str = ANALOGY
+    answer: str = ANSWER
+
+
+def templates_of(spark: SparkSession, folder: str) -> Templates:
+    """Templates from ``score.txt``, ``analogy.txt`` and ``answer.txt``, as far as a folder has them."""
+    files = spark.read.text(f"{folder}/*.txt", wholetext=True).select("value", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"))
+    known = {r["name"].removesuffix(".txt"): r["value"] for r in files.filter(F.col("name").isin("score.txt", "analogy.txt", "answer.txt")).collect()}
+    return Templates(**known)
+
+
 def fill(template: str, **values: Column) -> Column:
     """A template with its names in braces replaced by columns."""
     parts, rest = [], template
@@ -49,25 +67,51 @@ def candidate_list(candidates: Column) -> Column:
     return F.array_join(F.transform(candidates, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c)), "\n")
 
 
-def analogies(similar: DataFrame, histories: DataFrame, generate=None) -> DataFrame:
+def plain_analysis(prompt: Column, answer: Column) -> Column:
+    """What a deterministic generator says, whatever the prompt."""
+    return F.concat(F.lit("The events lead to "), answer, F.lit("."))
+
+
+def analyses(rows: DataFrame, generate=None, templates: Templates = Templates()) -> DataFrame:
+    """Rows (history, question, answer, target) with their ``analysis``; ``generate``: a column of texts from a column of prompts."""
+    prompt = fill(templates.analogy, history=F.col("history"), query=F.col("question"), answer=F.col("answer"), target=F.col("target"))
+    return rows.withColumn("analysis", generate(prompt) if generate else plain_analysis(prompt, F.col("answer")))
+
+
+def grounded(queries: DataFrame, events: DataFrame, generate=None, templates: Templates = Templates()) -> DataFrame:
+    """``query_id, analysis`` for lists of events (query_id, place, event): the last one is the grounded one, those before it its history.
+
+    The question itself stands ahead of the prompt.
+    """
+    last = events.groupBy("query_id").agg(F.max("place").alias("last"))
+    rows = events.join(last, "query_id")
+    before = numbered(verbalised(rows.filter("place < last")), "query_id", "place", "sentence", "history")
+    target = asked(queries).select("query_id", F.concat(F.lit("To be answered in the end: "), "question", F.lit("\n")).alias("target"))
+    one = rows.filter("place = last").select("query_id", F.col("subject").alias("sq"), F.col("relation").alias("rq"), F.col("ts_raw").alias("tq_raw"), F.col("ts").alias("tq"), F.col("object").alias("answer"))
+    whole = asked(one).join(before, "query_id", "left").join(target, "query_id").withColumn("history", F.coalesce("history", F.lit("")))
+    return analyses(whole, generate, templates).select("query_id", "analysis")
+
+
+def analogies(similar: DataFrame, histories: DataFrame, generate=None, templates: Templates = Templates()) -> DataFrame:
     """``query_id, analogies``: each similar event's history, question, answer and analysis as text.
 
-    ``similar``: query_id, nth and the event; ``histories``: dual histories keyed by
-    the event (query_id = event_idx). ``generate``: column of analyses from a column of prompts.
+    ``similar``: query_id, nth and the event, and own_id if histories aren't keyed by
+    the event's number; ``histories``: their dual histories (query_id). ``generate``:
+    column of analyses from a column of prompts.
     """
-    events = numbered(verbalised(histories), "query_id", "place", "sentence", "history").withColumnRenamed("query_id", "event_idx")
-    rows = asked(similar.select("query_id", "nth", "event_idx", F.col("subject").alias("sq"), F.col("relation").alias("rq"), F.col("ts_raw").alias("tq_raw"), F.col("ts").alias("tq"), F.col("object").alias("answer")))
-    rows = rows.join(events, "event_idx", "left").withColumn("history", F.coalesce("history", F.lit("")))
-    prompt = fill(ANALOGY, history=F.col("history"), query=F.col("question"), answer=F.col("answer"))
-    rows = rows.withColumn("analysis", generate(prompt) if generate else F.concat(F.lit("The events lead to "), "answer", F.lit(".")))
+    own = F.col("own_id") if "own_id" in similar.columns else F.col("event_idx")
+    events = numbered(verbalised(histories), "query_id", "place", "sentence", "history").withColumnRenamed("query_id", "own_id")
+    rows = asked(similar.select("query_id", "nth", own.alias("own_id"), F.col("subject").alias("sq"), F.col("relation").alias("rq"), F.col("ts_raw").alias("tq_raw"), F.col("ts").alias("tq"), F.col("object").alias("answer")))
+    rows = rows.join(events, "own_id", "left").withColumn("history", F.coalesce("history", F.lit(""))).withColumn("target", F.lit(""))
+    rows = analyses(rows, generate, templates)
     text = F.concat(F.lit("Analogy "), F.col("nth").cast("string"), F.lit(":\n"), "history", F.lit("\nQuestion: "), "question", F.lit("\nAnswer: "), "answer", F.lit(". "), "analysis")
     items = F.array_sort(F.collect_list(F.struct("nth", text.alias("text"))))
     return rows.groupBy("query_id").agg(F.array_join(F.transform(items, lambda x: x["text"]), "\n").alias("analogies"))
 
 
-def prompts(queries: DataFrame, dual: DataFrame, lists: DataFrame, examples: DataFrame | None = None) -> DataFrame:
+def prompts(queries: DataFrame, dual: DataFrame, lists: DataFrame, examples: DataFrame | None = None, templates: Templates = Templates()) -> DataFrame:
     """Whole prompts: ``query_id, question, candidates, prompt``."""
     rows = asked(queries).join(numbered(verbalised(dual), "query_id", "place", "sentence", "history"), "query_id", "left").join(lists, "query_id", "left")
     rows = rows.join(examples, "query_id", "left") if examples is not None else rows.withColumn("analogies", F.lit(None).cast("string"))
-    prompt = fill(ANSWER, analogies=F.coalesce("analogies", F.lit(NO_ANALOGIES)), history=F.coalesce("history", F.lit("")), query=F.col("question"), candidates=F.coalesce(candidate_list(F.col("candidates")), F.lit("")))
+    prompt = fill(templates.answer, analogies=F.coalesce("analogies", F.lit(NO_ANALOGIES)), history=F.coalesce("history", F.lit("")), query=F.col("question"), candidates=F.coalesce(candidate_list(F.col("candidates")), F.lit("")))
     return rows.select("query_id", "question", "candidates", prompt.alias("prompt"))

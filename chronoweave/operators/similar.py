@@ -17,12 +17,10 @@ def peers(queries: DataFrame, entities: DataFrame) -> DataFrame:
     return queries.join(own, "sq").join(others, "cluster").filter("peer <> sq").withColumn("similarity", dot(F.col("own_features"), F.col("features"))).drop("own_features", "features")
 
 
-def peer_events(peered: DataFrame, ends: DataFrame) -> DataFrame:
-    """Events that a peer began, of the question's relation, not at or after its time if both are known; with contexts."""
-    begun = prior_contexts(ends).filter("entity = subject").select("event_idx", "contexts")
-    events = ends.filter("entity = subject").join(begun, "event_idx", "left").withColumn("contexts", F.coalesce("contexts", F.lit(0)))
-    rows = peered.join(events.drop("entity"), (F.col("peer") == F.col("subject")) & (F.col("rq_norm") == F.col("relation_norm")))
-    return rows.filter("tq is null or ts is null or ts < tq")
+def begun(ends: DataFrame) -> DataFrame:
+    """Events under the entity that began them, with the number of its events before (0 for unknown times)."""
+    before = prior_contexts(ends).filter("entity = subject").select("event_idx", "contexts")
+    return ends.filter("entity = subject").drop("entity").join(before, "event_idx", "left").withColumn("contexts", F.coalesce("contexts", F.lit(0)))
 
 
 def long_enough(events: DataFrame, ends: DataFrame, s: Settings) -> DataFrame:
@@ -39,16 +37,27 @@ def long_enough(events: DataFrame, ends: DataFrame, s: Settings) -> DataFrame:
     return events.join(enough, "event_idx", "left_semi")
 
 
+def earliest(pairs: DataFrame, ends: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The earliest event that qualifies of each of ``pairs`` (subject, relation_norm): unknown times first, then the event's number.
+
+    Of a peer's events of one relation all are equally like the question, so the
+    earliest one is chosen; if it isn't before the question, no other one is.
+    """
+    events = begun(ends).filter(F.col("contexts") >= s.min_contexts).join(pairs, ["subject", "relation_norm"], "left_semi")
+    rest = [c for c in EVENT if c not in ("ts", "event_idx", "subject", "relation_norm")]
+    least = F.min(F.struct("ts", "event_idx", "contexts", *rest)).alias("x")
+    return long_enough(events, ends, s).groupBy("subject", "relation_norm").agg(least).select("subject", "relation_norm", "x.*")
+
+
 def similar_events(queries: DataFrame, entities: DataFrame, ends: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """The most similar event of each peer, then the ``analogies`` best of a question (``nth`` from 1)."""
     if s.analogies <= 0:
         return queries.limit(0).select("query_id")
-    rows = peer_events(peers(queries, entities), ends).filter(F.col("contexts") >= s.min_contexts)
-    rows = long_enough(rows, ends, s)
-    of_peer = Window.partitionBy("query_id", "peer").orderBy(F.col("similarity").desc(), F.col("ts").asc_nulls_first(), "event_idx")
-    best = rows.withColumn("k", F.row_number().over(of_peer)).filter("k = 1").drop("k")
+    peered = peers(queries, entities)
+    pairs = peered.select(F.col("peer").alias("subject"), F.col("rq_norm").alias("relation_norm")).distinct()
+    rows = peered.join(earliest(pairs, ends, s), (F.col("peer") == F.col("subject")) & (F.col("rq_norm") == F.col("relation_norm")))
     overall = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "peer")
-    best = best.withColumn("nth", F.row_number().over(overall)).filter(F.col("nth") <= s.analogies)
+    best = rows.filter("tq is null or ts is null or ts < tq").withColumn("nth", F.row_number().over(overall)).filter(F.col("nth") <= s.analogies)
     return best.select("query_id", "nth", "peer", "similarity", "contexts", *EVENT)
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions import scalar
+from ..functions import answers, scalar
 from ..operators import candidates as cand
-from ..operators import clusters, evaluate, history, predict, prompts, similar
+from ..operators import clusters, evaluate, forecast, history, predict, prompts, similar
 from ..sources import adapters, files
 from . import sql
 from .sql import ACTIVITY, FIRST, HISTORY, NATIONAL, RATES, RIGHT, SECOND, SHIPMENTS, SPLIT, dual, ents, filtered, scores, with_
@@ -33,13 +33,17 @@ class World:
     def history(self) -> DataFrame:
         return history.history_before(self.queries, self.ends)
 
+    @property
+    def found(self) -> DataFrame:
+        return cand.first_order(self.queries, self.ends)
+
     @property
     def entities(self) -> DataFrame:
         return adapters.entities(self.spark, self.sf_dir)
 
     @property
     def ranks(self) -> DataFrame:
-        return predict.ranked(predict.candidate_scores(self.queries, cand.first_order(self.history)))
+        return predict.ranked(predict.candidate_scores(self.queries, self.found))
 
 
 def _r(name: str, digits: int = 6):
@@ -158,13 +162,13 @@ def _(spark, d):
 
 @_case("candidates_first_order", with_(*_BASE, HISTORY, FIRST) + "SELECT query_id, candidate FROM o1")
 def _(spark, d):
-    return cand.first_order(World(spark, d).history)
+    return World(spark, d).found
 
 
 @_case("candidates_second_order", with_(SHIPMENTS, SPLIT, HISTORY, FIRST, SECOND) + "SELECT query_id, count(*) AS n, min(candidate) AS first_c, max(candidate) AS last_c FROM o2 GROUP BY 1")
 def _(spark, d):
     w = World(spark, d, "shipments")
-    return cand.second_order(w.queries, w.history, w.ends).groupBy("query_id").agg(F.count("*").alias("n"), F.min("candidate").alias("first_c"), F.max("candidate").alias("last_c"))
+    return cand.second_order(w.queries, w.found, w.ends).groupBy("query_id").agg(F.count("*").alias("n"), F.min("candidate").alias("first_c"), F.max("candidate").alias("last_c"))
 
 
 _ADAPTIVE = """sz AS (SELECT q.query_id, count(o1.candidate) AS n FROM q LEFT JOIN o1 USING (query_id) GROUP BY 1),
@@ -174,7 +178,7 @@ ad AS (SELECT query_id, candidate, false AS second FROM o1 JOIN sz USING (query_
 @_case("candidates_adaptive", with_(*_BASE, HISTORY, FIRST, SECOND, _ADAPTIVE) + "SELECT query_id, second, count(*) AS n FROM ad GROUP BY 1, 2")
 def _(spark, d):
     w = World(spark, d)
-    return cand.adaptive(w.queries, w.history, w.ends, 45).groupBy("query_id", "second").agg(F.count("*").alias("n"))
+    return cand.adaptive(w.queries, w.found, w.ends, 45).groupBy("query_id", "second").agg(F.count("*").alias("n"))
 
 
 @_case("cluster_members", with_(*_BASE, ents()) + "SELECT sq AS entity, coalesce(b.entity, sq) AS member FROM q LEFT JOIN ent a ON a.entity = sq LEFT JOIN ent b ON a.cluster = b.cluster")
@@ -215,7 +219,15 @@ def _(spark, d):
     return similar.ranked_by_similarity(w.queries, w.entities).select("query_id", "peer", _r("similarity"), F.col("nth").cast("long").alias("nth"))
 
 
-@_case("similar_event_long_history")
+_LONG = (
+    sql.similar(25, 0, 1000).split("p1 AS")[0].rstrip().rstrip(","), "pv0 AS (SELECT DISTINCT pv.event_idx AS own_id, t.subject, t.relation, t.relation_norm, t.ts_raw, t.ts FROM pv JOIN train t USING (event_idx) WHERE contexts >= 30)",
+    sql.own_histories("pv0", "", "20", "40"), "ne AS (SELECT query_id AS event_idx FROM dh_e GROUP BY 1 HAVING count(*) >= 30)",
+    "p1 AS (SELECT *, row_number() OVER (PARTITION BY query_id, peer ORDER BY similarity DESC, ts ASC NULLS FIRST, event_idx) AS k FROM pv WHERE event_idx IN (SELECT event_idx FROM ne))",
+    "p2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, peer) AS nth FROM p1 WHERE k = 1)",
+)
+
+
+@_case("similar_event_long_history", with_(*_BASE, ents(), *_LONG) + "SELECT query_id, peer, event_idx, contexts FROM p2 WHERE nth = 1")
 def _(spark, d):
     """Similar events whose own dual history (long term too) must have 30 rows."""
     s = Settings(analogies=1, min_contexts=25, min_history=30, total=40)
@@ -242,29 +254,43 @@ def _(spark, d):
     return prompts.asked(World(spark, d).queries).select("query_id", "question")
 
 
-_PROMPT = (
-    f"ls AS (SELECT query_id, string_agg(k || '. ' || line, chr(10) ORDER BY k) AS history FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS k, {sql.sentence()} AS line FROM dh JOIN ph USING (relation)) GROUP BY 1)",
-    "cl AS (SELECT query_id, string_agg(k || '. ' || candidate, chr(10) ORDER BY k) AS cands FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY candidate) AS k FROM o1) GROUP BY 1)",
-)
+_PROMPT = (*_DUAL, FIRST, sql.SAID, *sql.prompt())
 
 
-@_case("corpus_prompt", with_(*_DUAL, FIRST, sql.SAID, *_PROMPT) + f"SELECT q.query_id, sha256('Answer the last question with the number of one candidate.' || chr(10) || chr(10) || '(no analogies)' || chr(10) || chr(10) || 'Events:' || chr(10) || coalesce(history, '') || chr(10) || chr(10) || 'Question: ' || {sql.QUESTION} || chr(10) || 'Candidates:' || chr(10) || coalesce(cands, '') || chr(10) || 'Answer:') AS prompt_sha FROM q JOIN ph ON rq = relation LEFT JOIN ls USING (query_id) LEFT JOIN cl USING (query_id)")
+@_case("corpus_prompt", with_(*_PROMPT) + "SELECT query_id, sha256(prompt) AS prompt_sha FROM pr")
 def _(spark, d):
     w = World(spark, d)
-    h = w.history
-    return prompts.prompts(w.queries, history.dual_history(h), cand.as_lists(cand.first_order(h))).select("query_id", F.sha2("prompt", 256).alias("prompt_sha"))
+    return prompts.prompts(w.queries, history.dual_history(w.history), cand.as_lists(w.found)).select("query_id", F.sha2("prompt", 256).alias("prompt_sha"))
+
+
+_FLAGS = ", use_short, use_long"
+_EXAMPLES = Settings(analogies=2, min_contexts=10, min_history=0)
+_ANALOGIES = (
+    *_BASE, ents(), sql.similar(10, 0, 2), "eq AS (SELECT s.query_id, s.nth, t.*, s.event_idx AS own_id FROM sim s JOIN train t USING (event_idx))", HISTORY, dual(),
+    sql.own_histories("eq", ""), FIRST, sql.SAID, *sql.analogies(), *sql.prompt(analogies=True),
+)
 
 
-@_case("analogical_prompt")
+@_case("analogical_prompt", with_(*_ANALOGIES) + "SELECT query_id, length(prompt) AS n, sha256(prompt) AS prompt_sha FROM pr")
 def _(spark, d):
     """Prompts with analogies: each similar event's own history, question, answer and analysis."""
-    w = World(spark, d, settings=_SIMILAR)
-    sim = similar.similar_events(w.queries, w.entities, w.ends, _SIMILAR)
-    asked = sim.select(F.col("event_idx").alias("query_id"), F.col("subject").alias("sq"), F.col("relation").alias("rq"), F.col("relation_norm").alias("rq_norm"), F.col("ts_raw").alias("tq_raw"), F.col("ts").alias("tq")).distinct()
-    own = history.dual_history(history.history_before(history.with_settings(asked, _SIMILAR), w.ends))
-    h = w.history
-    text = prompts.prompts(w.queries, history.dual_history(h), cand.as_lists(cand.first_order(h)), prompts.analogies(sim, own))
-    return text.select("query_id", F.length("prompt").alias("n"), F.sha2("prompt", 256).alias("prompt_sha"))
+    w = World(spark, d, settings=_EXAMPLES)
+    rows = forecast.contexts(w.queries, w.ends, w.entities, _EXAMPLES)
+    return rows.select("query_id", F.length("prompt").cast("long").alias("n"), F.sha2("prompt", 256).alias("prompt_sha"))
+
+
+@_case("grounded_analysis", with_(*_DUAL) + "SELECT query_id, arg_max(object, place) AS answer, 'The events lead to ' || arg_max(object, place) || '.' AS analysis FROM dh GROUP BY 1")
+def _(spark, d):
+    """The last event of a list is the grounded one, those before it its history."""
+    w = World(spark, d)
+    dh = history.dual_history(w.history)
+    last = dh.groupBy("query_id").agg(F.max_by("object", "place").alias("answer"))
+    return prompts.grounded(w.queries, dh).join(last, "query_id").select("query_id", "answer", "analysis")
+
+
+@_case("history_hash", with_(*_DUAL) + "SELECT query_id, sha256(CAST(to_json(list([subject, relation, object, ts_raw] ORDER BY place)) AS VARCHAR)) AS digest FROM dh GROUP BY 1")
+def _(spark, d):
+    return history.history_hash(history.dual_history(World(spark, d).history))
 
 
 _RANK = (*_BASE, HISTORY, FIRST, scores("o1"))
@@ -273,7 +299,7 @@ _RANK = (*_BASE, HISTORY, FIRST, scores("o1"))
 @_case("candidate_scores", with_(*_RANK) + "SELECT query_id, candidate, round(score, 6) AS score FROM sc")
 def _(spark, d):
     w = World(spark, d)
-    return predict.candidate_scores(w.queries, cand.first_order(w.history)).select("query_id", "candidate", _r("score"))
+    return predict.candidate_scores(w.queries, w.found).select("query_id", "candidate", _r("score"))
 
 
 @_case("ranked_candidates", with_(*_RANK) + "SELECT query_id, candidate, round(prob, 6) AS prob, rank FROM rk")
@@ -303,7 +329,7 @@ _ANSWERS = ("al AS (SELECT query_id, list(candidate ORDER BY candidate) AS cs FR
 @_case("answer_parse", with_(*_BASE, HISTORY, FIRST, *_ANSWERS) + "SELECT query_id, cs[1 + query_id % len(cs)] AS predicted FROM al")
 def _(spark, d):
     """Answers of five styles, each naming a known place or name."""
-    lists = cand.as_lists(cand.first_order(World(spark, d).history))
+    lists = cand.as_lists(World(spark, d).found)
     place = (F.col("query_id") % F.size("candidates")).cast("int")
     n, name = (place + 1).cast("string"), F.get("candidates", place)
     styles = [F.concat(F.lit("Because of 2 events.\nAnswer: "), n), F.concat(F.lit("I choose ["), n, F.lit("] here")), name, F.to_json(F.struct(name.alias("x"))), F.concat(F.lit("Weighing it all\n"), n, F.lit("."))]
@@ -339,32 +365,251 @@ for _mode, _name in (("none", "hits_raw"), ("static", "hits_filtered"), ("time-a
         return _rates(evaluate.right_ranks(evaluate.filtered_ranks(w.ranks, w.queries, w.quads, mode), w.queries))
 
 
-_ABLATED = "q0 AS (SELECT * FROM q_), st_ AS (SELECT * FROM (VALUES ('full', 0, true, true), ('without_long_term', 1, true, false), ('without_short_term', 2, false, true), ('without_analogies', 3, true, true)) t(setting, setting_id, use_short, use_long)), q AS (SELECT q0.* REPLACE (query_id * 100 + setting_id AS query_id), setting, use_short, use_long FROM q0 CROSS JOIN st_)"
+_LABELLED = (*_PROMPT, sql.labels())
+
+
+@_case("predict_labels", with_(*_LABELLED) + "SELECT query_id, candidate AS predicted, round(prob, 6) AS prob FROM rk WHERE rank = 1")
+def _(spark, d):
+    """Answers by label scores of whole prompts: history and candidates to prompt to scores to the best candidate."""
+    w = World(spark, d)
+    return forecast.infer(forecast.contexts(w.queries, w.ends)).select("query_id", "predicted", F.round(F.array_max("probs"), 6).alias("prob"))
+
+
+@_case("predict_text", with_(*_PROMPT) + f"SELECT query_id, CASE WHEN len(cs) = 0 THEN 'UNKNOWN' ELSE cs[1 + {sql.hashed('prompt')} % greatest(len(cs), 1)] END AS predicted FROM pr")
+def _(spark, d):
+    """Answers read from a predictor's text."""
+    w, s = World(spark, d), Settings(label_scores=False)
+    return forecast.predict(w.queries, w.ends, s=s).select("query_id", "predicted")
+
+
+@_case("predict_by_size", with_(*_LABELLED) + f"SELECT query_id, len(cs) <= 50 AS by_labels, CASE WHEN len(cs) <= 50 THEN candidate ELSE cs[1 + {sql.hashed('prompt')} % len(cs)] END AS predicted FROM pr JOIN rk USING (query_id) WHERE rank = 1")
+def _(spark, d):
+    """Label scores for questions with up to 50 candidates, text for the others."""
+    w, s = World(spark, d), Settings(max_scored=50)
+    return forecast.predict(w.queries, w.ends, s=s).select("query_id", "by_labels", "predicted")
+
+
+@_case("predict_opaque", with_(*_PROMPT) + "SELECT query_id, query_id % 2 = 0 AS by_labels, CASE WHEN query_id % 2 = 0 THEN cs[-1] ELSE cs[2] END AS predicted FROM pr WHERE len(cs) > 1")
+def _(spark, d):
+    """Python functions as label scorer (which fails for questions of odd number) and as predictor."""
+    w = World(spark, d)
+    context = forecast.contexts(w.queries, w.ends).filter("size(candidates) > 1").withColumn("prompt", F.concat(F.col("query_id").cast("string"), F.lit("\n"), "prompt"))
+
+    def scores(prompt: str, candidates: list[str]) -> list[float]:
+        if int(prompt.split("\n")[0]) % 2:
+            raise RuntimeError("no scores today")
+        return [float(i) for i in range(len(candidates))]
+
+    models = forecast.Models(labels=answers.opaque_labels(scores), predictor=answers.opaque_text(lambda prompt: "My choice is plain.\nFinal answer: 2"))
+    return forecast.infer(context, models=models).select("query_id", "by_labels", "predicted")
+
+
+_RETRY = (
+    *_DUAL, FIRST, SECOND, sql.SAID, *sql.prompt(), sql.labels().replace("sc ", "c1 ").replace(" sc)", " c1)").replace("sx ", "x1 ").replace(" sx)", " x1)").replace("sp ", "s1 ").replace(" sp)", " s1)").replace("rk ", "r1 "),
+    "un AS (SELECT query_id FROM r1 GROUP BY 1 HAVING max(prob) < 0.04)", *(t.replace("ls AS", "ls2 AS").replace("cl AS", "cl2 AS").replace("pr AS", "pr2 AS").replace(" ls ", " ls2 ").replace(" cl ", " cl2 ").replace("FROM o1", "FROM o2") for t in sql.prompt()),
+    "pa AS (SELECT query_id, prompt, cs FROM pr WHERE query_id NOT IN (SELECT query_id FROM un) UNION ALL SELECT query_id, prompt, cs FROM pr2 WHERE query_id IN (SELECT query_id FROM un))", sql.labels("pa"),
+)
+
+
+@_case("predict_retry", with_(*_RETRY) + "SELECT query_id, query_id IN (SELECT query_id FROM un) AS second, candidate AS predicted, round(prob, 6) AS prob FROM rk WHERE rank = 1")
+def _(spark, d):
+    """Unsure answers are asked again with the neighbours' neighbours as candidates."""
+    w, s = World(spark, d), Settings(confidence=0.04)
+    return forecast.predict(w.queries, w.ends, s=s).select("query_id", "second", "predicted", F.round(F.array_max("probs"), 6).alias("prob"))
+
+
+@_case("chunk_scores", with_(*_DUAL, sql.SAID) + f"SELECT query_id, event_idx, CAST((row_number() OVER (PARTITION BY query_id, day ORDER BY pos) - 1) // 2 AS INTEGER) AS chunk, CAST(length({sql.sentence('g.')}) AS DOUBLE) AS score FROM g JOIN ph USING (relation)")
+def _(spark, d):
+    """A Python scorer, called for two events of a day at a time."""
+    models = forecast.Models(scorer=forecast.chunk_scorer(lambda prompt, events: [float(len(e)) for e in events]), chunked=True)
+    return forecast.retrieved(World(spark, d).queries, World(spark, d).ends, Settings(chunk=2), models).select("query_id", "event_idx", "chunk", "score")
 
 
-def _settings_first(cte: str) -> tuple[str, ...]:
-    """SPLIT with its questions renamed, then the questions under every setting."""
-    head, tail = SPLIT.replace("q AS (SELECT event_idx", "q_ AS (SELECT event_idx"), cte
-    return head, tail
+_TIES = """gc AS (SELECT *, (row_number() OVER (PARTITION BY query_id, day ORDER BY pos) - 1) // 3 AS chunk FROM g),
+gt AS (SELECT query_id, event_idx, CASE WHEN count(*) OVER w > 1 THEN CASE WHEN relation_norm = rq_norm THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE 0.5::DOUBLE END AS score FROM gc WINDOW w AS (PARTITION BY query_id, day, chunk))"""
 
 
-@_case("ablation", with_(ACTIVITY, *_settings_first(_ABLATED), HISTORY, dual(use_short="use_short", use_long="use_long")) + "SELECT setting, count(*) AS events, CAST(sum(is_short) AS BIGINT) AS short_events, count(DISTINCT dh.query_id) AS questions FROM dh JOIN q USING (query_id) GROUP BY 1")
+@_case("scorer_ties", with_(*_DUAL, _TIES) + "SELECT query_id, event_idx, score FROM gt")
 def _(spark, d):
+    """A scorer that says the same of all: chunks of more than one event go by their likeness instead."""
+    like = (F.col("relation_norm") == F.col("rq_norm")).cast("double")
+    models = forecast.Models(scorer=lambda rows: rows.withColumn("score", F.lit(0.5)), like=like, chunked=True)
     w = World(spark, d)
-    rows = history.with_settings(evaluate.ablations(w.queries.drop("use_short", "use_long")))
-    dh = history.dual_history(history.history_before(rows, w.ends)).join(rows.select("query_id", "setting"), "query_id")
-    return dh.groupBy("setting").agg(F.count("*").alias("events"), F.sum("is_short").alias("short_events"), F.countDistinct("query_id").alias("questions"))
+    return forecast.retrieved(w.queries, w.ends, Settings(chunk=3), models).select("query_id", "event_idx", "score")
+
+
+_RUN = (ACTIVITY, SPLIT.replace("q AS (SELECT event_idx", "q_ AS (SELECT event_idx"), "q AS (SELECT * FROM q_ ORDER BY query_id LIMIT 40 OFFSET 5)", HISTORY, dual(), FIRST, sql.SAID, *sql.prompt(), sql.labels(), filtered("static"), RIGHT)
+
 
+@_case("metrics_run", with_(*_RUN) + f"SELECT {RATES} FROM rr")
+def _(spark, d):
+    """A window of questions from contexts to filtered rates."""
+    w, s = World(spark, d), Settings(filter="static")
+    _, rates = forecast.evaluated(w.quads, w.queries, w.ends, s=s, start=5, n=40)
+    return rates.select("evaluated", "skipped", _r("hit_at_1"), _r("hit_at_10"), _r("mrr"))
+
+
+_ABLATED = "st_ AS (SELECT * FROM (VALUES ('full', 0, true, true, true), ('without_long_term', 1, true, false, true), ('without_short_term', 2, false, true, true), ('without_analogies', 3, true, true, false)) t(setting, setting_id, use_short, use_long, use_analogies)), q AS (SELECT q_.* REPLACE (query_id * 4 + setting_id AS query_id), setting, use_short, use_long, use_analogies FROM q_ CROSS JOIN st_)"
+_UNDER = SPLIT.replace("q AS (SELECT event_idx", "q_ AS (SELECT event_idx")
+_EXAMPLES_UNDER = "eq AS (SELECT s.query_id, s.nth, t.*, use_short, use_long, s.event_idx || '/' || CAST(use_short AS VARCHAR) || '/' || CAST(use_long AS VARCHAR) AS own_id FROM sim s JOIN train t USING (event_idx) JOIN (SELECT query_id, use_short, use_long FROM q WHERE use_analogies) USING (query_id))"
+
+
+@_case(
+    "ablation",
+    with_(ACTIVITY, _UNDER, _ABLATED, ents(), sql.similar(10, 0, 2), _EXAMPLES_UNDER, HISTORY, dual(use_short="use_short", use_long="use_long"), sql.own_histories("eq", _FLAGS, "20", "100", "2.75", "64", "0", "use_short", "use_long"), FIRST, sql.SAID, *sql.analogies(), *sql.prompt(analogies=True), sql.labels(), filtered("none"), RIGHT)
+    + f"SELECT setting, {RATES} FROM rr JOIN (SELECT query_id, setting FROM q) USING (query_id) GROUP BY setting",
+)
+def _(spark, d):
+    """Rates of answers with all parts of the prompt, and without long term, short term or analogies."""
+    w = World(spark, d, settings=_EXAMPLES)
+    rows = history.with_settings(evaluate.ablations(w.queries), _EXAMPLES)
+    ranks = forecast.ranks(forecast.predict(rows, w.ends, w.entities, _EXAMPLES))
+    return evaluate.metrics(ranks, rows, w.quads, "none", "setting").select("setting", "evaluated", "skipped", _r("hit_at_1"), _r("hit_at_10"), _r("mrr"))
 
-_GRID = "st_ AS (SELECT row_number() OVER (ORDER BY set_total, set_l, set_alpha) - 1 AS setting_id, * FROM (SELECT unnest([25, 40]) AS set_total), (SELECT unnest([10, 20]) AS set_l), (SELECT unnest([2.25::DOUBLE, 3.0::DOUBLE]) AS set_alpha)), q AS (SELECT q_.* REPLACE (query_id * 100 + setting_id AS query_id), set_total, set_l, set_alpha FROM q_ CROSS JOIN st_)"
 
+_GRID = "st_ AS (SELECT row_number() OVER (ORDER BY set_total, set_l, set_alpha) - 1 AS setting_id, * FROM (SELECT unnest([25, 40]) AS set_total), (SELECT unnest([10, 20]) AS set_l), (SELECT unnest([2.25::DOUBLE, 3.0::DOUBLE]) AS set_alpha)), q AS (SELECT q_.* REPLACE (query_id * 8 + setting_id AS query_id), set_total, set_l, set_alpha FROM q_ CROSS JOIN st_)"
 
-@_case("sweep", with_(ACTIVITY, *_settings_first(_GRID), HISTORY, dual("set_l", "set_total", "set_alpha")) + "SELECT set_total AS total, set_l AS l, set_alpha AS alpha, count(*) AS events, CAST(sum(is_short) AS BIGINT) AS short_events FROM dh JOIN q USING (query_id) GROUP BY ALL")
+
+@_case("sweep", with_(ACTIVITY, _UNDER, _GRID, HISTORY, dual("set_l", "set_total", "set_alpha"), FIRST, sql.SAID, *sql.prompt(), sql.labels(), filtered("none"), RIGHT) + f"SELECT set_total AS total, set_l AS l, set_alpha AS alpha, {RATES} FROM rr JOIN (SELECT query_id, set_total, set_l, set_alpha FROM q) USING (query_id) GROUP BY 1, 2, 3")
 def _(spark, d):
+    """Rates of answers under a grid of settings, in one job."""
     w = World(spark, d)
-    rows = history.with_settings(evaluate.sweep(w.queries.drop("total", "l", "alpha"), (25, 40), (10, 20), (2.25, 3.0)))
-    dh = history.dual_history(history.history_before(rows, w.ends)).join(rows.select("query_id", "total", "l", "alpha"), "query_id")
-    return dh.groupBy("total", "l", "alpha").agg(F.count("*").alias("events"), F.sum("is_short").alias("short_events"))
+    rows = history.with_settings(evaluate.sweep(w.queries, (25, 40), (10, 20), (2.25, 3.0)))
+    ranks = forecast.ranks(forecast.predict(rows, w.ends))
+    return evaluate.metrics(ranks, rows, w.quads, "none", "total", "l", "alpha").select("total", "l", "alpha", "evaluated", "skipped", _r("hit_at_1"), _r("hit_at_10"), _r("mrr"))
+
+
+@_case("question_window", with_(*_BASE) + "SELECT query_id FROM q ORDER BY query_id LIMIT 30 OFFSET 7")
+def _(spark, d):
+    return evaluate.window(World(spark, d).queries, 7, 30).select("query_id")
+
+
+@_case("first_question", with_(ACTIVITY) + "SELECT event_idx AS query_id, subject AS sq, relation AS rq, ts_raw AS tq_raw FROM quads ORDER BY event_idx LIMIT 1")
+def _(spark, d):
+    return evaluate.first_question(adapters.activity(spark, d)).select("query_id", "sq", "rq", "tq_raw")
+
+
+@_case("metric_lines", with_(*_RANK, filtered("none"), RIGHT) + f"SELECT evaluated || ',' || skipped || ',' || printf('%.4f', hit_at_1) || ',' || printf('%.4f', hit_at_10) || ',' || printf('%.4f', mrr) AS value FROM (SELECT {RATES} FROM rr) UNION ALL SELECT 'evaluated,skipped,hit_at_1,hit_at_10,mrr'")
+def _(spark, d):
+    """A table of metrics written as comma-separated text and read again."""
+    path = files.scratch(spark, "metrics")
+    w = World(spark, d)
+    files.write_metrics(evaluate.metrics(w.ranks, w.queries, w.quads), path)
+    return spark.read.text(path)
+
+
+@_case("cached_answers", "SELECT o_orderpriority AS payload, upper(o_orderpriority) AS value, count(*) AS n FROM orders GROUP BY 1, 2")
+def _(spark, d):
+    """Answers computed once for each distinct payload; a second round finds them all."""
+    cache = files.ResponseCache(spark, files.scratch(spark, "cache") + "/answers", "predict", "upper")
+    asked = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderpriority").alias("payload"))
+    cache.fill(asked, lambda rows: rows.withColumn("value", F.upper("payload")))
+    again = cache.fill(asked, lambda rows: rows.withColumn("value", F.lit("computed twice")))
+    return again.groupBy("payload", "value").agg(F.count("*").alias("n"))
+
+
+@_case("newest_answer", "SELECT sha256('score_lp' || chr(10) || 'm' || chr(10) || c_name) AS \"key\", CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS value FROM customer")
+def _(spark, d):
+    """Of several answers with one key the one put last counts."""
+    cache = files.ResponseCache(spark, files.scratch(spark, "cache") + "/answers", "score_lp", "m")
+    asked = cache.keyed(spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.col("c_name").alias("payload")))
+    cache.put(asked.withColumn("value", F.lit("old")))
+    cache.put(asked.filter("c_custkey % 2 = 0").withColumn("value", F.lit("new")))
+    return cache.table().select("key", "value")
+
+
+@_case("response_keys", with_(*_PROMPT) + "SELECT query_id, sha256('predict' || chr(10) || 'provider:model' || chr(10) || prompt) AS \"key\" FROM pr")
+def _(spark, d):
+    w = World(spark, d)
+    return forecast.contexts(w.queries, w.ends).select("query_id", scalar.digest("predict", F.lit("provider:model"), F.col("prompt")).alias("key"))
+
+
+@_case("unquoted", "SELECT c_custkey, CASE c_custkey % 4 WHEN 2 THEN chr(34) || c_name || chr(39) WHEN 3 THEN chr(34) || c_name || chr(34) ELSE c_name END AS text FROM customer")
+def _(spark, d):
+    """One matching pair of quotes goes, an odd one stays."""
+    rows, name = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_name")
+    styles = [('"', '"'), ("  '", "' "), ('"', "'"), ('""', '""')]
+    text = F.lit(None).cast("string")
+    for i, (a, b) in enumerate(styles):
+        text = F.when(F.col("c_custkey") % 4 == i, F.concat(F.lit(a), name, F.lit(b))).otherwise(text)
+    return rows.select("c_custkey", scalar.unquote(text).alias("text"))
+
+
+@_case("scores_codec", with_(*_RANK) + "SELECT query_id, candidate, round(prob, 6) AS prob FROM rk")
+def _(spark, d):
+    """Labels and probabilities as JSON and back."""
+    rows = World(spark, d).ranks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "candidate", "prob"))).alias("r"))
+    coded = rows.select("query_id", scalar.encode_scores(F.col("r.candidate"), F.col("r.prob")).alias("text")).select("query_id", scalar.decode_scores(F.col("text")).alias("x"))
+    return coded.select("query_id", F.explode(F.arrays_zip("x.labels", "x.probs")).alias("y")).select("query_id", F.col("y.labels").alias("candidate"), F.round("y.probs", 6).alias("prob"))
+
+
+@_case("speedups", "SELECT p_partkey, round(p_retailprice / p_size, 6) AS speedup, round(1 - p_size / p_retailprice, 6) AS saved FROM part")
+def _(spark, d):
+    """Times without and with a cache (here: prices and sizes) to speed-ups."""
+    x = evaluate.speedup(F.col("p_retailprice"), F.col("p_size"))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", x.alias("x")).select("p_partkey", _r("x.speedup").alias("speedup"), _r("x.saved").alias("saved"))
+
+
+_LINES = "CASE event_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'test' ELSE 'valid' END"
+
+
+@_case("load_splits", f"SELECT {_LINES} AS split, 'user ' || user_id AS subject, event_type AS relation, lower(event_type) AS relation_norm, 'v' || round(value) AS object, strftime(ts, '%Y-%m-%d') AS ts_raw, strftime(ts, '%Y-%m-%d') AS day FROM events".replace("'v' || round(value)", "'item ' || user_id % 7"))
+def _(spark, d):
+    """A folder of tab-separated splits, written from the events, with header lines, short lines and a fifth field."""
+    path = files.scratch(spark, "splits")
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("split", F.expr(_LINES))
+    line = F.concat_ws("\t", F.concat(F.lit(" user "), F.col("user_id").cast("string")), F.concat("event_type", F.lit(" ")), F.concat(F.lit("item "), (F.col("user_id") % 7).cast("string")), F.date_format("ts", "yyyy-MM-dd"), F.lit("more"))
+    odd = spark.createDataFrame([("Subject\trelation\tobject\ttimestamp",), ("too\tshort",)], "value string")
+    for split, name in (("train", "train"), ("test", "test.txt"), ("valid", "valid.txt")):
+        e.filter(F.col("split") == split).select(line.alias("value")).unionByName(odd).write.mode("overwrite").text(f"{path}/{name}")
+    return files.read_quads(spark, path).select("split", "subject", "relation", "relation_norm", "object", "ts_raw", F.col("day").cast("string").alias("day"))
+
+
+@_case("history_data", "SELECT count(*) AS n, count(DISTINCT user_id) AS users FROM events WHERE event_id % 3 = 0")
+def _(spark, d):
+    """What a question may know by default: the training split alone."""
+    path = files.scratch(spark, "splits")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    line = F.concat_ws(",", F.col("user_id").cast("string"), "event_type", F.lit("x"), F.date_format("ts", "yyyy-MM-dd"))
+    e.filter("event_id % 3 = 0").select(line.alias("value")).write.mode("overwrite").text(f"{path}/train.txt")
+    e.filter("event_id % 3 <> 0").select(line.alias("value")).write.mode("overwrite").text(f"{path}/valid.txt")
+    return files.history_data(spark, path=path).agg(F.count("*").alias("n"), F.countDistinct("subject").alias("users"))
+
+
+@_case("load_encoded", "SELECT coalesce(replace(s.n_name, '_', ' '), CAST(c_nationkey AS VARCHAR)) AS subject, coalesce(lower(replace(r_name, '_', ' ')), CAST(c_custkey % 8 AS VARCHAR)) AS relation, coalesce(replace(o.n_name, '_', ' '), CAST(c_custkey % 30 AS VARCHAR)) AS object, CAST(DATE '2005-01-01' + CAST(c_custkey % 4000 AS INTEGER) AS VARCHAR) AS day FROM customer LEFT JOIN nation s ON s.n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = c_custkey % 8 LEFT JOIN nation o ON o.n_nationkey = c_custkey % 30")
+def _(spark, d):
+    """A folder of id-encoded events with its maps, in which some ids have no name and one index has two lines."""
+    path = files.scratch(spark, "encoded")
+    t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    n, r = t("nation"), t("region")
+    names = [f"{x['n_name'].replace(' ', '_')}\t{x['n_nationkey']}" for x in n.orderBy("n_nationkey").collect()]  # 25 nations
+    files.write_text(spark, f"{path}/entity2id.txt", "\n".join(["Nobody\t0", "malformed", *names]))
+    r.select(F.concat_ws("\t", "r_name", F.col("r_regionkey").cast("string")).alias("value")).write.mode("overwrite").text(f"{path}/relation2id.txt")
+    ids = [F.col("c_nationkey"), F.col("c_custkey") % 8, F.col("c_custkey") % 30, F.col("c_custkey") % 4000]
+    t("customer").select(F.concat_ws("\t", *(c.cast("string") for c in ids)).alias("value")).write.mode("overwrite").text(f"{path}/train.txt")
+    return files.read_quads(spark, path).select("subject", "relation", "object", F.col("day").cast("string").alias("day"))
+
+
+@_case("load_json", "SELECT 'n' || n_nationkey AS subject, 'in' AS relation, r_name AS object, '1' AS ts_raw FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, d):
+    """One JSON array whose objects use different names of the fields."""
+    path = files.scratch(spark, "json") + "/events.json"
+    n, r = (spark.read.parquet(f"{d}/{x}.parquet") for x in ("nation", "region"))
+    subject, obj = F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.col("r_name")
+    usual = F.to_json(F.struct(subject.alias("subject"), F.lit("in").alias("relation"), obj.alias("object"), F.lit(1).alias("timestamp")))
+    other = F.to_json(F.struct(F.lit("").alias("subject"), subject.alias("head"), F.lit(" in").alias("rel"), obj.alias("tail"), F.lit("1").alias("time")))
+    rows = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.when(F.col("n_nationkey") % 2 == 0, usual).otherwise(other).alias("x"))
+    files.write_text(spark, path, "\n [" + ",\n".join(x["x"] for x in rows.collect()) + "]")  # 25 nations
+    return files.read_quads(spark, path).select("subject", "relation", "object", "ts_raw")
+
+
+@_case("load_jsonl", "SELECT 'c' || o_custkey AS subject, lower(trim(o_orderpriority)) AS relation_norm, o_orderstatus AS object, strftime(o_orderdate, '%Y/%m/%d') AS ts_raw, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def _(spark, d):
+    """JSON lines with short names of the fields."""
+    path = files.scratch(spark, "jsonl") + "/events.jsonl"
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    o.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("s"), F.col("o_orderpriority").alias("r"), F.col("o_orderstatus").alias("o"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("t")).write.json(path)
+    return files.read_quads(spark, path).select("subject", "relation_norm", "object", "ts_raw", F.col("day").cast("string").alias("day"))
 
 
 @_case("id_decode", "SELECT l_orderkey, l_linenumber, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS subject, coalesce(lower(p_type), CAST(l_partkey AS VARCHAR)) AS relation FROM lineitem JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN part ON l_partkey = p_partkey")
@@ -374,13 +619,15 @@ def _(spark, d):
     return rows.select("l_orderkey", "l_linenumber", F.coalesce("n_name", F.col("s_nationkey").cast("string")).alias("subject"), F.coalesce(F.lower("p_type"), F.col("l_partkey").cast("string")).alias("relation"))
 
 
-_TIMES = ["2014-01-01", "2014-1-1", "2014/03/09", "2014-01-01T10:00:00", "01/02/2014", "3243", "0", "20140101", "junk", "", "2014-02-30", "2014-01-01 10:00:00", " 2015-05-05 "]
-_EXPECTED = ["2014-01-01", "2014-01-01", "2014-03-09", "2014-01-01", "2014-02-01", "2013-11-18", "2005-01-01", None, None, None, None, None, "2015-05-05"]
-
-
-@_case("timestamp_parse", "SELECT * FROM (VALUES " + ", ".join(f"({sql._q(a)}, {sql._q(b) if b else 'CAST(NULL AS VARCHAR)'})" for a, b in zip(_TIMES, _EXPECTED, strict=True)) + ") t(raw, day)")
+@_case("timestamp_parse", "SELECT event_id, CASE WHEN event_id % 6 < 5 THEN strftime(ts, '%Y-%m-%d') END AS day FROM events")
 def _(spark, d):
-    return spark.createDataFrame([(t,) for t in _TIMES], "raw string").withColumn("day", F.to_date(scalar.parse_time(F.col("raw"))).cast("string"))
+    """Every event's time in one of the four layouts, as days since the calendar's start, or as something else."""
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("at", F.col("ts").cast("timestamp_ntz"))
+    words = [F.date_format("at", "yyyy-MM-dd"), F.concat(F.lit(" "), F.date_format("at", "yyyy/M/d")), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.date_format("at", "dd/MM/yyyy"), F.datediff(F.to_date("at"), F.lit(scalar.FIRST_DAY).cast("date")).cast("string")]
+    raw = F.concat(F.lit("on "), words[0])
+    for i, w in enumerate(words):
+        raw = F.when(F.col("event_id") % 6 == i, w).otherwise(raw)
+    return e.select("event_id", F.to_date(scalar.parse_time(raw)).cast("string").alias("day"))
 
 
 @_case("posthoc_rates", with_(*_RANK, filtered("none"), RIGHT) + "SELECT count(rank) AS evaluated, round(coalesce(avg(CASE WHEN rank <= 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0), 6) AS hit_at_1, round(coalesce(avg(CASE WHEN rank <= 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 0), 6) AS hit_at_10 FROM rr WHERE rank IS NOT NULL")
@@ -389,15 +636,36 @@ def _(spark, d):
     return evaluate.posthoc(evaluate.records(w.ranks, w.queries)).select("evaluated", _r("hit_at_1"), _r("hit_at_10"))
 
 
-@_case("prediction_records")
+_RECORDS = """ll AS (SELECT query_id, list(candidate ORDER BY rank) AS names, count(*) AS n FROM rk GROUP BY 1),
+rc AS (SELECT q.query_id, sq, tq_raw, ground_truth, names, coalesce(n, 0) AS n, list_position(names, ground_truth) AS place FROM q LEFT JOIN ll USING (query_id))"""
+_RECORD = "SELECT query_id AS \"index\", sq AS subject, tq_raw AS \"timestamp\", ground_truth, CASE WHEN place > 0 THEN names[1] END AS predicted, n AS candidate_size, coalesce(place > 0, false) AS in_oq, CASE WHEN coalesce(place, 0) = 0 THEN 'gt_not_in_oq' END AS skipped_reason, CASE WHEN place > 0 THEN CAST(place AS BIGINT) END AS rank, CASE WHEN place > 0 THEN place = 1 END AS hit_at_1, CASE WHEN place > 0 THEN place <= 10 END AS hit_at_10, CASE WHEN place > 0 THEN array_to_string(names[1:10], '|') END AS top10, CASE WHEN place > 0 THEN len(names) END AS ranked FROM rc"
+
+
+@_case("prediction_records", with_(*_RANK, _RECORDS) + _RECORD)
 def _(spark, d):
+    """Records written as JSON lines and read again."""
     w = World(spark, d)
-    return evaluate.records(w.ranks, w.queries)
+    path = files.scratch(spark, "records")
+    files.write_records(evaluate.records(w.ranks, w.queries), path)
+    r = files.read_records(spark, path)
+    return r.select("index", "query.subject", "query.timestamp", "ground_truth", "predicted", "candidate_size", "in_oq", "skipped_reason", "raw.rank", "raw.hit_at_1", "raw.hit_at_10", F.array_join("raw.top10", "|").alias("top10"), F.when(F.col("raw").isNotNull(), F.size("raw.ranked_candidates").cast("long")).alias("ranked"))
+
 
+_EMBED = """g AS (SELECT entity, unnest(list_transform(range(1, greatest(length('entity: ' || entity) - 2, 1) + 1), lambda i: substr('entity: ' || entity, i, 3))) AS gram FROM e),
+b AS (SELECT entity, ('0x' || substr(md5(gram), 1, 8))::BIGINT % 64 AS bin, count(*) AS n FROM g GROUP BY 1, 2)"""
 
-@_case("embed_hash")
+
+@_case("embed_hash", with_(ACTIVITY, "e AS (SELECT subject AS entity FROM quads UNION SELECT object FROM quads)", _EMBED) + "SELECT entity, bin, round(n / sqrt(sum(n * n) OVER (PARTITION BY entity)), 5) AS value FROM b")
 def _(spark, d):
-    return clusters.embed(clusters.entity_list(adapters.activity(spark, d)))
+    rows = clusters.embed(clusters.entity_list(adapters.activity(spark, d)))
+    return rows.select("entity", F.posexplode("features").alias("bin", "value")).filter("value > 0").select("entity", F.col("bin").cast("long").alias("bin"), F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+@_case("entity_sample", with_(ACTIVITY, "e AS (SELECT subject AS entity FROM quads UNION SELECT object FROM quads)", "s AS (SELECT entity FROM e ORDER BY sha256('42|' || entity), entity LIMIT 50)") + "SELECT entity FROM s UNION SELECT subject FROM quads WHERE relation = 'purchase'")
+def _(spark, d):
+    """Fifty entities by a seeded hash and all that a question needs."""
+    quads = adapters.activity(spark, d)
+    return clusters.sampled(clusters.entity_list(quads), 50, quads.filter("relation = 'purchase'").select(F.col("subject").alias("entity")).distinct())
 
 
 @_case("kmeans_clusters")
@@ -405,22 +673,34 @@ def _(spark, d):
     return clusters.sizes(clusters.kmeans(adapters.entities(spark, d).select("entity", "features"), 10)[0])
 
 
+@_case("cluster_entities")
+def _(spark, d):
+    """Names to vectors to clusters in one call."""
+    got = clusters.cluster_entities(clusters.entity_list(adapters.activity(spark, d)), k=8, restarts=1)
+    return clusters.sizes(got.entities).withColumn("k", F.lit(got.k)).withColumn("silhouette", F.lit(got.silhouette))
+
+
 @_case("optimal_k")
 def _(spark, d):
-    k, tried = clusters.optimal_k(adapters.entities(spark, d).select("entity", "features"), 2, 8)
+    k, tried = clusters.optimal_k(adapters.entities(spark, d).select("entity", "features"))
     return spark.createDataFrame([(a, b, c, a == k) for a, b, c in tried], "k int, cost double, silhouette double, chosen boolean")
 
 
-@_case("silhouette")
+_SILHOUETTE = """u AS (SELECT entity, cluster, list_transform(features, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(features, lambda y: y::DOUBLE * y::DOUBLE)))) AS f FROM ent),
+dd AS (SELECT a.entity, a.cluster AS own, b.cluster AS other, sum(1 - list_sum(list_transform(list_zip(a.f, b.f), lambda z: z[1] * z[2]))) AS d, count(*) AS n FROM u a JOIN u b ON true GROUP BY ALL),
+sc AS (SELECT entity, max(CASE WHEN own = other THEN n END) AS n, max(CASE WHEN own = other AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN own <> other THEN d / n END) AS b FROM dd GROUP BY 1)"""
+
+
+@_case("silhouette", with_(ents(), _SILHOUETTE) + "SELECT round(avg(CASE WHEN n > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 5) AS silhouette FROM sc")
 def _(spark, d):
-    clustered, model = clusters.kmeans(adapters.entities(spark, d).select("entity", "features"), 5)
-    return spark.createDataFrame([(5, float(clusters.silhouette(clustered)), float(model.summary.trainingCost))], "k int, silhouette double, cost double")
+    """Of the clusters that the table of embeddings gives."""
+    return spark.createDataFrame([(float(clusters.silhouette(adapters.entities(spark, d))),)], "silhouette double").select(F.round("silhouette", 5).alias("silhouette"))
 
 
 @_case("opaque_scorer", with_(*_RANK) + "SELECT query_id, candidate, CAST(length(candidate) AS DOUBLE) AS score FROM o1")
 def _(spark, d):
     """Scores from a Python function, in Arrow batches."""
-    return predict.opaque_scores(cand.first_order(World(spark, d).history), lambda batch: batch["candidate"].str.len().astype(float))
+    return predict.opaque_scores(World(spark, d).found, lambda batch: batch["candidate"].str.len().astype(float))
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions.phrases import IRREGULAR, PHRASES, PREPOSITIONS
 
 ACTIVITY = """quads AS (SELECT event_id AS event_idx, 'user_' || user_id AS subject, event_type AS relation, lower(trim(event_type)) AS relation_norm,
@@ -40,6 +42,12 @@ both_ AS (SELECT query_id, event_idx, subject, relation, relation_norm, object,
 dh AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ts ASC NULLS FIRST, is_short, pos) AS place FROM both_)"""
 
 
+def again(suffix: str, *ctes: str) -> str:
+    """Tables of questions and histories once more under other names, for other questions (``q`` + suffix)."""
+    names = "q|hist|hs|st|nst|pool|pool1|pool2|pool3|pool4|g|kept|lt|both_|dh"
+    return re.sub(rf"(?<![.'])\b({names})\b(?! AS k\b)", rf"\1{suffix}", ",\n".join(ctes))
+
+
 NEIGHBOURS = "nb AS (SELECT entity, ts, CASE WHEN subject = entity THEN object ELSE subject END AS neighbour FROM ends)"
 FIRST = "o1 AS (SELECT DISTINCT query_id, CASE WHEN subject = entity THEN object ELSE subject END AS candidate FROM hist WHERE CASE WHEN subject = entity THEN object ELSE subject END NOT IN ('?', 'None', 'null', ''))"
 SECOND = f"""{NEIGHBOURS}, nd AS (SELECT DISTINCT entity, neighbour FROM nb WHERE neighbour NOT IN ('?', 'None', 'null', '')),
@@ -83,6 +91,44 @@ p2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DE
 sim AS (SELECT * FROM p2 WHERE nth <= {analogies})"""
 
 
+def own_histories(events: str, flags: str, *settings: str) -> str:
+    """``q_e`` (questions made of the events of a query, own_id their id) and their dual histories ``dh_e``."""
+    asked = f"q AS (SELECT DISTINCT own_id AS query_id, subject AS sq, relation AS rq, relation_norm AS rq_norm, ts_raw AS tq_raw, ts AS tq{flags} FROM {events})"
+    return again("_e", asked, HISTORY, dual(*settings))
+
+
+#: Prompts of all questions, with the candidates as a list; ``an`` holds analogies where there are any.
+def prompt(analogies: bool = False) -> tuple[str, ...]:
+    told = "coalesce(analogies, '(no analogies)')" if analogies else "'(no analogies)'"
+    return (
+        f"ls AS (SELECT query_id, string_agg(k || '. ' || line, chr(10) ORDER BY k) AS history FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS k, {sentence()} AS line FROM dh JOIN ph USING (relation)) GROUP BY 1)",
+        "cl AS (SELECT query_id, list(candidate ORDER BY candidate) AS cs, string_agg(k || '. ' || candidate, chr(10) ORDER BY k) AS cands FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY candidate) AS k FROM o1) GROUP BY 1)",
+        f"pr AS (SELECT q.*, coalesce(cs, []) AS cs, 'Answer the last question with the number of one candidate.' || chr(10) || chr(10) || {told} || chr(10) || chr(10) || 'Events:' || chr(10) || coalesce(history, '') || chr(10) || chr(10) || 'Question: ' || {QUESTION} || chr(10) || 'Candidates:' || chr(10) || coalesce(cands, '') || chr(10) || 'Answer:' AS prompt"
+        + f" FROM q JOIN ph ON rq = relation LEFT JOIN ls USING (query_id) LEFT JOIN cl USING (query_id){' LEFT JOIN an USING (query_id)' if analogies else ''})",
+    )
+
+
+#: Analogies of ``eq`` (query_id, nth, the event, own_id) from ``dh_e``.
+def analogies() -> tuple[str, ...]:
+    question = f"'On ' || {date('e.ts', 'e.ts_raw')} || ', ' || {name('e.subject')} || ' ' || said || CASE WHEN said LIKE '% about' THEN ' what?' ELSE ' whom?' END"
+    return (
+        f"le AS (SELECT query_id AS own_id, string_agg(k || '. ' || line, chr(10) ORDER BY k) AS history FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS k, {sentence()} AS line FROM dh_e JOIN ph USING (relation)) GROUP BY 1)",
+        f"an AS (SELECT e.query_id, string_agg('Analogy ' || nth || ':' || chr(10) || coalesce(history, '') || chr(10) || 'Question: ' || {question} || chr(10) || 'Answer: ' || e.object || '. The events lead to ' || e.object || '.', chr(10) ORDER BY nth) AS analogies FROM eq e JOIN ph ON ph.relation = e.relation LEFT JOIN le USING (own_id) GROUP BY 1)",
+    )
+
+
+def labels(source: str = "pr") -> str:
+    """Ranks (``rk``) by label scores of whole prompts."""
+    return f"""sc AS (SELECT query_id, c AS candidate, {hashed("prompt || '|' || c")} / 4294967295.0::DOUBLE * 2 - 1 AS score FROM {source}, unnest(cs) t(c)),
+sx AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS ex FROM sc),
+sp AS (SELECT *, ex / sum(ex) OVER (PARTITION BY query_id) AS prob FROM sx),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY prob DESC, candidate) AS rank FROM sp)"""
+
+
+def hashed(text: str) -> str:
+    return f"('0x' || substr(sha256({text}), 1, 8))::BIGINT"
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normal, parse_time, strip
+from ..functions.scalar import digest, normal, parse_time, strip
 
 SPLITS = ("train", "test", "valid", "dev")
 #: Names of a field in JSON objects, the first that isn't empty counts.
@@ -30,6 +32,43 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one (a local one where none is set in local mode); deleted when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "/tmp/checkpoints"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file."""
+    fs, p = _fs(spark, path)
+    stream = fs.create(p)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def _opens_with(spark: SparkSession, path: str) -> str:
+    """The first character of a file that is no white space; a file's beginning is all that is read."""
+    fs, p = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        while (b := stream.read()) >= 0:
+            if not chr(b).isspace():
+                return chr(b)
+    finally:
+        stream.close()
+    return ""
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return fs.exists(p)
@@ -64,12 +103,19 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """subject, relation, object, ts_raw of lines with four fields or more; header lines (``subject``) are skipped.
 
     Lines without quotes are split as text, so that an empty field differs from a
-    missing one; lines with quotes are parsed as CSV.
+    missing one; lines with quotes are parsed as CSV. Where a line has an odd number
+    of quotes, a quoted field goes on in the next one: then the whole file is read as CSV.
     """
     head = spark.read.text(path).limit(50).collect()
     sep = delimiter("\n".join(r["value"] for r in head)[:PROBE])
     lines = spark.read.text(path)
     names = ("subject", "relation", "object", "ts_raw")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    if not lines.filter(quotes % 2 == 1).isEmpty():
+        schema = ", ".join(f"{n} string" for n in names)
+        parsed = spark.read.schema(schema).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
+        rows = parsed.select(F.monotonically_increasing_id().alias("event_idx"), *names).filter("ts_raw is not null")
+        return rows.filter(F.lower(strip(F.col("subject"))) != "subject")
     plain = F.split(F.col("value"), "\\" + sep if sep != "\t" else "\t", -1)
     typed = F.from_csv(F.col("value"), ", ".join(f"c{i} string" for i in range(4)), {"sep": sep, "mode": "PERMISSIVE", "enforceSchema": "true"})
     quoted = F.array(*(typed[f"c{i}"] for i in range(4)))
@@ -130,16 +176,32 @@ def read_quads(spark: SparkSession, path: str, splits: tuple[str, ...] | None =
     if path.endswith(".jsonl"):
         return canonical(from_objects(spark.read.schema(_OBJECT).json(path)))
     if path.endswith(".json"):
-        first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim("value"), 1, 1).alias("c")).first()
-        if not first or first["c"] != "[":
+        if _opens_with(spark, path) != "[":
             raise ValueError(f"{path}: not an array of objects")
         return canonical(from_objects(spark.read.schema(_OBJECT).option("multiLine", True).json(path)))
     return canonical(read_delimited(spark, path))
 
 
-def line_numbers(df: DataFrame, order: list[Column], by: str) -> DataFrame:
-    """Running numbers inside ``by`` (never over the whole table)."""
-    return df.withColumn("line", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+def history_data(spark: SparkSession, data: DataFrame | None = None, path: str | None = None) -> DataFrame:
+    """Events that a question may know: those given, else the training split of a folder."""
+    if data is not None:
+        return data
+    if path is None:
+        raise ValueError("neither events nor a folder")
+    return read_quads(spark, path, ("train",)) if _is_dir(spark, path) else read_quads(spark, path)
+
+
+def metric_lines(metrics: DataFrame) -> DataFrame:
+    """Rows of a table of metrics as lines between commas: fractions with four digits, nulls as nothing."""
+    kinds = dict(metrics.dtypes)
+    cell = lambda c: F.format_string("%.4f", F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    return metrics.select(F.concat_ws(",", *(F.when(F.col(c).isNull(), F.lit("")).otherwise(cell(c)) for c in metrics.columns)).alias("value"))
+
+
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """One text file with a header line: tables of metrics have a row for each setting."""
+    header = metrics.sparkSession.createDataFrame([(0, ",".join(metrics.columns))], "n int, value string")
+    header.unionByName(metric_lines(metrics).withColumn("n", F.lit(1))).coalesce(1).sortWithinPartitions("n", "value").select("value").write.mode("overwrite").text(path)
 
 
 RECORD = (
@@ -157,27 +219,42 @@ def write_records(records: DataFrame, path: str) -> None:
 
 
 class ResponseCache:
-    """Responses keyed by digest in a Parquet table; the newest answer of a key counts."""
+    """Responses by key in a Parquet table; the newest answer of a key counts, by the time it was put there.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    Keys are digests of a namespace (what is asked of the model), the model and the
+    payload, so that one folder serves several of each.
+    """
 
-    def table(self) -> DataFrame:
+    SCHEMA = "key string, value string, at long"
+
+    def __init__(self, spark: SparkSession, path: str, namespace: str = "predict", model: str = ""):
+        self.spark, self.path, self.namespace, self.model = spark, path, namespace, model
+
+    def keyed(self, asked: DataFrame) -> DataFrame:
+        """``asked`` (payload …) with its keys."""
+        return asked.withColumn("key", digest(self.namespace, F.lit(self.model), F.col("payload")))
+
+    def every(self) -> DataFrame:
         if not exists(self.spark, self.path):
-            return self.spark.createDataFrame([], "key string, value string")
-        return self.spark.read.schema("key string, value string").parquet(self.path)
+            return self.spark.createDataFrame([], self.SCHEMA)
+        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+
+    def table(self) -> DataFrame:
+        return self.every().groupBy("key").agg(F.max_by("value", "at").alias("value"))
 
     def put(self, rows: DataFrame) -> None:
-        rows.select("key", "value").write.mode("append").parquet(self.path)
+        rows.select("key", "value", F.lit(time.time_ns()).alias("at")).write.mode("append").parquet(self.path)
 
     def fill(self, asked: DataFrame, compute) -> DataFrame:
-        """``asked`` (key, payload …) with ``value``: cached ones joined, the misses computed once per key and kept."""
+        """``asked`` (key, or payload to make one of) with ``value``: cached ones joined, the misses computed once per key and kept."""
+        asked = asked if "key" in asked.columns else self.keyed(asked)
         misses = asked.join(self.table(), "key", "left_anti").dropDuplicates(["key"])
         self.put(compute(misses))
-        return asked.join(self.table().dropDuplicates(["key"]), "key")
+        return asked.join(self.table(), "key")
 
     def clear(self) -> int:
-        n = self.table().count()
+        """Answers that were there."""
+        n = self.every().count()
         fs, p = _fs(self.spark, self.path)
         fs.delete(p, True)
         return n

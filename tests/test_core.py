@@ -7,10 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.config import Settings, filter_mode
+from chronoweave.config import Settings, filter_mode, label_scores, numbers, truthy
 from chronoweave.functions import scalar
-from chronoweave.functions.answers import read_answer
-from chronoweave.operators import candidates, evaluate, history
+from chronoweave.functions.answers import answer
+from chronoweave.operators import candidates, clusters, evaluate, forecast, history, prompts
 from chronoweave.plans import catalogue
 from chronoweave.sources import files
 
@@ -72,19 +72,68 @@ def test_single_event_days_are_kept_and_lengths_bounded(spark):
 def test_candidates(spark):
     q = quads(spark, [("China", "meet", "Japan", "2013-01-01"), ("China", "meet", "Russia", "2013-06-01"), ("China", "consult", "Japan", "2013-09-01"), ("China", "meet", "India", "2013-12-01"), ("Russia", "meet", "Belarus", "2013-01-01"), ("Japan", "visit", "China", "2013-03-01"), ("China", "meet", "?", "2013-01-05")])
     ends, ask = history.endpoints(q), asked(spark, ("China", "meet"), "2014-01-01")
-    h = history.history_before(ask, ends)
-    one = candidates.as_lists(candidates.first_order(h)).first()["candidates"]
-    two = candidates.as_lists(candidates.second_order(ask, h, ends)).first()["candidates"]
+    first = candidates.first_order(ask, ends)
+    one = candidates.as_lists(first).first()["candidates"]
+    two = candidates.as_lists(candidates.second_order(ask, first, ends)).first()["candidates"]
     assert one == ["India", "Japan", "Russia"] and two == ["Belarus", "India", "Japan", "Russia"]
-    assert candidates.adaptive(ask, h, ends, 4).filter("second").count() == 4
+    assert candidates.adaptive(ask, first, ends, 4).filter("second").count() == 4
 
 
-@pytest.mark.parametrize(
-    ("output", "want"),
-    [("x\nAnswer: 2", "b"), ("[3]", "cc"), ("the answer is 9 or\nanswer is 1", "a"), ("cc", "cc"), ('"b"', "b"), ("2", "b"), ("maybe cc then", "cc"), (")", ""), ("none of 5", "none of 5"), ("1. text\nno", "1. text"), (None, "")],
-)
-def test_read_answer(output, want):
-    assert read_answer(output, ["a", "b", "cc"] if want != "1. text" else ["q", "zz"]) == want
+def test_candidates_of_unknown_times(spark):
+    q = quads(spark, [("A", "r", "B", "junk"), ("A", "r", "C", "2014-03-01"), ("D", "r", "A", "2014-01-01"), ("A", "r", "C", "2014-01-05")])
+    ends = history.endpoints(q)
+    for raw, want in (("2014-01-03", {"B", "D"}), ("2014-02-01", {"B", "C", "D"}), ("junk", {"B", "C", "D"})):
+        ask = asked(spark, ("A", "r"), raw)
+        assert {r["candidate"] for r in candidates.first_order(ask, ends).collect()} == want
+        h = history.neighbours(history.history_before(ask, ends))
+        assert {r["neighbour"] for r in h.collect()} == want
+
+
+def test_answers(spark):
+    three, two = ["a", "b", "cc"], ["q", "zz"]
+    cases = [
+        ("x\nAnswer: 2", three, "b"), ("[3]", three, "cc"), ("the answer is 9 or\nanswer is 1", three, "a"), ("cc", three, "cc"), ('"b"', three, "b"), ("2", three, "b"), ("maybe cc then", three, "cc"),
+        (")", three, ""), ("none of 5", three, "none of 5"), ("1. text\nno", two, "1. text"), (None, three, ""), ("Choice: 3 it is", three, "cc"), ("2 of them", three, "b"), ("3.\n\n  ", three, "cc"),
+        ("2\nfinal 1", three, "a"), ("7\n2", three, "b"), ("x" * 900 + " [2]", three, "b"), ("[2] " + "x" * 900, three, "[2] " + "x" * 900), ("  free text ", [], "free text"), ("zz q", ["", "q", "zz"], "zz"), (None, None, ""),
+    ]
+    rows = spark.createDataFrame(cases, "output string, candidates array<string>, want string")
+    assert [(r["output"], r["got"]) for r in rows.withColumn("got", answer(F.col("output"), F.col("candidates"))).collect()] == [(o, w) for o, _, w in cases]
+
+
+def test_settings_from_an_environment():
+    s = Settings.from_env({"SHORT_TERM_L": "5", "DISABLE_LONG_TERM": "yes", "EVAL_FILTER": "time_aware", "MAX_LOGPROB_CANDIDATES": "7", "LLM_PROVIDER": "hf", "MIN_SIMILAR_HISTORY_LENGTH": "3"})
+    assert (s.short, s.use_long, s.filter, s.max_scored, s.label_scores, s.least_history) == (5, False, "time-aware", 7, False, 3)
+    assert [truthy(x) for x in ("1", " Yes ", "on", "0", "", None)] == [True, True, True, False, False, False] and truthy("", True)
+    assert label_scores({}) and not label_scores({"USE_LOGPROB_PREDICTION": "0"}) and numbers("1, 2,", ()) == (1, 2) and numbers(" ", (3,)) == (3,)
+
+
+def test_templates_and_generator(spark, tmp_path):
+    (tmp_path / "answer.txt").write_text("{query}|{candidates}|{history}|{analogies}")
+    (tmp_path / "other.txt").write_text("not ours")
+    t = prompts.templates_of(spark, str(tmp_path))
+    assert t.answer.startswith("{query}|") and t.score == prompts.SCORE
+    w = catalogue.World(spark, SF, settings=catalogue._EXAMPLES)
+    models = forecast.Models(generator=lambda prompt: F.concat(F.lit("Because: "), F.length(prompt).cast("string")))
+    rows = forecast.contexts(w.queries.limit(5), w.ends, w.entities, catalogue._EXAMPLES, models, t).collect()
+    assert rows and all(r["prompt"].startswith(r["question"] + "|1. ") for r in rows) and any("Because: " in r["prompt"] for r in rows)
+
+
+def test_scorers_that_say_too_little_fail(spark):
+    w = catalogue.World(spark, SF)
+    models = forecast.Models(scorer=forecast.chunk_scorer(lambda prompt, events: [1.0] * (len(events) - 1)), chunked=True)
+    with pytest.raises(Exception, match="scores for"):
+        forecast.retrieved(w.queries, w.ends, Settings(chunk=2), models).count()
+
+
+def test_cache_saves_time_and_clusters_need_vectors(spark, tmp_path):
+    cache = files.ResponseCache(spark, str(tmp_path / "c"))
+    took = forecast.timed(spark.createDataFrame([("a",), ("b",)], "payload string"), cache, lambda rows: rows.withColumn("value", F.upper("payload")) if "payload" in rows.columns else rows)
+    assert set(took) == {"off", "warm", "on", "speedup", "saved"} and cache.clear() == 2
+    some = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "entity string")
+    got = clusters.cluster_entities(some, k=2, restarts=1)
+    assert got.k == 2 and got.entities.count() == 4 and -1 <= got.silhouette <= 1
+    with pytest.raises(ValueError):
+        clusters.cluster_entities(some, clusters.embed(some.limit(2)), 2)
 
 
 def test_phrases(spark):
@@ -111,6 +160,12 @@ def test_loaders(spark, tmp_path):
     j = tmp_path / "e.json"
     j.write_text(json.dumps([{"s": "A", "rel": "meet", "tail": "B", "time": "2014-01-01"}, {"subject": "", "head": "C", "r": "x", "o": "D"}]))
     assert [(r["subject"], r["object"]) for r in files.read_quads(spark, str(j)).orderBy("event_idx").collect()] == [("A", "B"), ("C", "D")]
+    lines = tmp_path / "e.jsonl"
+    lines.write_text('{"s": "A", "r": "meet", "o": "B", "t": "2014-01-01", "more": [1]}\n{"subject": "C", "relation": " Visit ", "object": "D", "timestamp": 5}\n\n')
+    assert [(r["subject"], r["relation_norm"], r["object"], str(r["day"])) for r in files.read_quads(spark, str(lines)).orderBy("event_idx").collect()] == [("A", "meet", "B", "2014-01-01"), ("C", "visit", "D", "2005-01-06")]
+    broken = tmp_path / "q.csv"
+    broken.write_text('A,"meets\nand, greets",B,2014-01-01\nC,"says ""no""",D,2014-01-02\nshort,row\n')
+    assert [(r["subject"], r["relation"], r["ts_raw"]) for r in files.read_quads(spark, str(broken)).orderBy("event_idx").collect()] == [("A", "meets\nand, greets", "2014-01-01"), ("C", 'says "no"', "2014-01-02")]
     (tmp_path / "o.json").write_text("{}")
     with pytest.raises(ValueError):
         files.read_quads(spark, str(tmp_path / "o.json"))
@@ -125,7 +180,8 @@ def test_cache_computes_misses_once(spark, tmp_path):
     compute = lambda df: df.withColumn("value", F.upper("payload"))
     assert sorted(r["value"] for r in cache.fill(ask, compute).collect()) == ["A", "A", "B"]
     assert sorted(r["value"] for r in cache.fill(ask, lambda df: df.withColumn("value", F.lit("no"))).collect()) == ["A", "A", "B"]
-    assert cache.clear() == 2
+    cache.put(spark.createDataFrame([("k1", "newer")], "key string, value string"))
+    assert sorted(r["value"] for r in cache.table().collect()) == ["B", "newer"] and cache.clear() == 3
 
 
 def test_records_round_trip_and_filters(spark, tmp_path):
