@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,10 +65,25 @@ def ship(spark: SparkSession) -> None:
     sc._chronoweave_shipped = True
 
 
+def lean() -> None:
+    """Let a Python worker give back what earlier tasks have left: workers are used again, and glibc keeps what it freed."""
+    gc.collect()
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # arrays of a megabyte and more are mapped, so freeing them frees memory
+        libc.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package shipped to the workers."""
+    """``mapInArrow`` with this package shipped to the workers, which begin each task lean."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        lean()
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def id_crc(doc_id: Column) -> Column:

@@ -53,7 +53,7 @@ ORDERS = len(SLOT_BITS)
 _BASE = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])  # all orders' slots stand in one row
 _SLOTS = int(_BASE[-1])
 _END = np.uint64(0xE4D0F7EC7)  # the end token's hash
-_KEEP, _REMEMBER = 1_500_000, 21
+_KEEP, _REMEMBER = 1_000_000, 21
 _NODE = np.uint64(0x9E3779B97F4A7C15)
 _ORDER = (np.arange(1, ORDERS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
@@ -247,7 +247,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind in (0, 1):
             if held[kind][0]:
                 yield from rows(kind)
-    pa.default_memory_pool().release_unused()
 
 
 def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

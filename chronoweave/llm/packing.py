@@ -26,7 +26,6 @@ id and text columns are read, so others may have any name.
 
 from __future__ import annotations
 
-import contextlib
 import json
 import struct
 import zlib
@@ -39,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import map_arrow, materialise
+from ._spark import lean, map_arrow, materialise
 
 CAPACITY, END_ID, VOCABULARY = 4096, 1, "word_bpe_49k.json"
 #: Runs in one generation of a worker's memory.
@@ -188,15 +187,9 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 def _forget() -> None:
     """Give back what a worker remembers of texts, before it is used for other things."""
-    import ctypes
-    import gc
-
     if _TOKENIZERS:
         _TOKENIZERS.clear()
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory unless told
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        lean()
 
 
 def _tokenizer(path: str) -> WordTokenizer:
