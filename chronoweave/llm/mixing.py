@@ -42,6 +42,8 @@ from ._spark import kept, map_arrow, materialise, restored
 
 WEIGHTS, MAX_REPEATS, SEED = (1, 2, 3), 3, 17
 SHARDS, SHARD_WORDS, BLOCKS, BLOCKS_A_SHARD = 64, 1 << 30, 4096, 64
+#: Most sources whose table, a row each, is broadcast.
+BROADCAST = 10_000
 #: Single rows of a source that a step of filling looks at; steps go on until none fits.
 FILL = 1024
 #: A block is split that has so many rows more, and so many times the rows of its source's mean block.
@@ -187,10 +189,11 @@ def draw(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None
     rest = {s: goal[s] - whole[s] * sizes[s] if sizes[s] and whole[s] < MAX_REPEATS else 0.0 for s in names}
     table = [(i, s, sizes[s], float(goal[s]), whole[s], float(rest[s])) for i, s in enumerate(names)]
     sources = spark.createDataFrame(table, "sid int, source string, source_size long, target double, whole int, rest double")
-    right = sources.select(F.col("source").alias("s_"), "sid")
+    small = F.broadcast if len(table) <= BROADCAST else lambda df: df  # one row a source
+    right = small(sources.select(F.col("source").alias("s_"), "sid"))
     numbered = _in_blocks(rows.join(right, rows["source"].eqNullSafe(right["s_"])), max(BLOCKS, BLOCKS_A_SHARD * shards))
 
-    blocks = _permuted(numbered.groupBy("sid", "block").agg(F.sum("size").alias("words")), seed).join(sources.select("sid", "whole", "rest"), "sid")
+    blocks = _permuted(numbered.groupBy("sid", "block").agg(F.sum("size").alias("words")), seed).join(small(sources.select("sid", "whole", "rest")), "sid")
     blocks = materialise(blocks, "blocks")
 
     # the partial pass: whole blocks, rows of the block at the border, single rows that fill the gap
@@ -205,7 +208,7 @@ def draw(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None
     free = numbered.join(blocks.filter("before + words > rest").select("sid", "block"), ["sid", "block"]).join(some.select("uid"), "uid", "left_anti")
     longest = Window.partitionBy("sid").orderBy(F.col("size").desc(), "spot", "key", "uid")
     while room := [(s, float(g)) for s, g in gap.items() if g >= 1]:
-        left = free.join(spark.createDataFrame(room, "sid int, room double"), "sid").filter("size <= room")
+        left = free.join(small(spark.createDataFrame(room, "sid int, room double")), "sid").filter("size <= room")
         if added:
             left = left.join(F.broadcast(spark.createDataFrame([a[:1] for a in added], "uid long")), "uid", "left_anti")
         best = left.withColumn("k", F.row_number().over(longest)).filter(F.col("k") <= FILL).select("sid", "k", "uid", "size").collect()
@@ -216,7 +219,7 @@ def draw(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None
         if not best:
             break
     if room:  # none fits: the shortest of the others, where it comes nearer from above
-        gaps = spark.createDataFrame(room, "sid int, room double")
+        gaps = small(spark.createDataFrame(room, "sid int, room double"))
         left = free.join(spark.createDataFrame(added or [(-1, -1)], "uid long, s_ int").select("uid"), "uid", "left_anti").join(gaps, "sid").filter("size > room and size < 2 * room")
         for r in left.groupBy("sid").agg(F.min(F.struct("size", "spot", "key", "uid")).alias("x")).collect():
             added.append((r["x"]["uid"], r["sid"]))
@@ -237,7 +240,7 @@ def draw(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, shards: int | None
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shard)], names=["sid", "block", "pass", "all_rows", "shard"])
 
     counts = spark.createDataFrame([(i, n) for i, n in count.items()], "sid int, blocks long")
-    place = drawn.join(counts, "sid").select("sid", "block", "pass", F.expr("pass < whole or before + words <= rest").alias("all_rows"), (F.col("pass") * F.col("blocks") + F.col("nth") - 1).alias("at"))
+    place = drawn.join(small(counts), "sid").select("sid", "block", "pass", F.expr("pass < whole or before + words <= rest").alias("all_rows"), (F.col("pass") * F.col("blocks") + F.col("nth") - 1).alias("at"))
     place = map_arrow(place, deal, "sid int, block long, pass int, all_rows boolean, shard int")
 
     drawn_rows = numbered.select("uid", "sid", "block").join(place.filter("all_rows"), ["sid", "block"]).select("uid", "pass", "shard")
@@ -275,5 +278,6 @@ def op4_mixing(docs: DataFrame) -> DataFrame:
     copies = draws.groupBy("uid").agg(F.count("*").alias("copies"), F.concat_ws(",", F.array_sort(F.collect_list("shard")).cast("array<string>")).alias("shards"))
     out = rows.join(copies, "uid", "left")
     right = sources.withColumnRenamed("source", "s_")
+    right = F.broadcast(right) if right.limit(BROADCAST + 1).count() <= BROADCAST else right
     out = out.join(right, out["source"].eqNullSafe(right["s_"]))
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.coalesce("copies", F.lit(0))).alias("taken"), "source", F.coalesce("shards", F.lit("")).alias("shards"))
