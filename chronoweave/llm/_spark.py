@@ -42,7 +42,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _folder(spark, path, lambda fs, p: fs.deleteOnExit(p))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_stored", None):
+            _folder(t.sparkSession, path, lambda fs, p: fs.delete(p, True))
 
 
 def _folder(spark: SparkSession, path: str, use) -> None:

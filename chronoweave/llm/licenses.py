@@ -6,8 +6,8 @@ one; white space collapses. Known licence texts and notices are put in the same
 form. SHA-256 digests are then joined by hash: a whole document with a known
 text, and each of its lines with a known notice (a licence line is an entire
 text too). The known table is small and fixed (KNOWN and the digests of full texts,
-header lines and identifier lines in license_digests.csv), so it is the broadcast
-side; lines are met where they are scanned and only matches travel.
+header lines and identifier lines in license_digests.csv), so it is a literal of
+the plan: whole texts and lines are met where they are scanned.
 
 Null texts and texts whose canonical form is empty match nothing and have a null
 digest. Repeated rows are reported each. Only id and text columns are read.
@@ -53,6 +53,8 @@ KNOWN = [
     ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Known texts that a plan holds as literals; more are joined.
+LITERAL = 10_000
 COPYRIGHT = r"(^|\n)[ \t]*(copyright\b|\(c\)|©)[^\n]*"
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c“”‘’–—•©"
 
@@ -100,21 +102,42 @@ def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFram
 def scan(docs: DataFrame, licenses: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, digest, whole_license, license_lines, licenses`` for every row.
 
-    ``licenses``: ``digest, license_id`` of known texts (small: it is broadcast).
-    A row's lines are met with it before anything is shuffled; what travels is
-    one row per document.
+    ``licenses``: ``digest, license_id`` of known texts, a digest once. Up to LITERAL
+    of them are part of the plan as a hashed set, and nothing is shuffled; more are
+    joined, and what travels then is a row per line that may match.
     """
+
     def digests(body: Column) -> Column:
         return F.struct(_digest(F.translate(body, "\n", " ")).alias("whole"), F.transform(F.split(body, "\n"), _digest).alias("lines"))
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), _let(canonical_lines(F.col(text_col).cast("string")), digests).alias("d"))
-    rows = rows.select("uid", "doc_id", F.col("d.whole").alias("digest"), F.explode_outer("d.lines").alias("line_digest"))
-    of_line = F.broadcast(licenses.select(F.col("digest").alias("line_digest"), F.col("license_id").alias("line_license")))
-    found = rows.join(of_line, "line_digest", "left").groupBy("uid", "doc_id", "digest").agg(F.count("line_license").alias("license_lines"), F.array_sort(F.collect_set("line_license")).alias("of_lines"))
-    of_whole = F.broadcast(licenses.select("digest", F.col("license_id").alias("whole_license")))
-    out = found.join(of_whole, "digest", "left")
-    every = F.array_distinct(F.array_sort(F.concat("of_lines", F.when(F.col("whole_license").isNotNull(), F.array("whole_license")).otherwise(F.array().cast("array<string>")))))
-    return out.select("doc_id", "digest", "whole_license", "license_lines", F.concat_ws(",", every).alias("licenses"))
+    known_ones = [(r["digest"], r["license_id"]) for r in licenses.limit(LITERAL + 1).collect()]
+    if len(known_ones) <= LITERAL:
+        met = _literal(rows, known_ones)
+    else:
+        met = _joined(rows, licenses)
+    return met.select("doc_id", "digest", "whole_license", F.size("of_lines").cast("long").alias("license_lines"), F.concat_ws(",", F.array_distinct(F.array_sort(F.concat("of_lines", F.array_compact(F.array("whole_license")))))).alias("licenses"))
+
+
+def _literal(rows: DataFrame, known_ones: list[tuple[str, str]]) -> DataFrame:
+    """Digests met with a set of literals; the few that are in it are looked up."""
+    if not known_ones:
+        none = F.lit(None).cast("string")
+        return rows.select("doc_id", F.col("d.whole").alias("digest"), none.alias("whole_license"), F.array().cast("array<string>").alias("of_lines"))
+    names = F.create_map(*(F.lit(x) for pair in known_ones for x in pair))
+    one_of = lambda d: d.isin([digest for digest, _ in known_ones])
+    of_lines = F.coalesce(F.transform(F.filter("d.lines", one_of), lambda d: F.element_at(names, d)), F.array().cast("array<string>"))
+    whole = F.when(one_of(F.col("d.whole")), F.element_at(names, F.col("d.whole")))
+    return rows.select("doc_id", F.col("d.whole").alias("digest"), whole.alias("whole_license"), of_lines.alias("of_lines"))
+
+
+def _joined(rows: DataFrame, licenses: DataFrame) -> DataFrame:
+    """Digests met by joins."""
+    lines = rows.select("uid", F.explode("d.lines").alias("digest")).join(licenses, "digest")
+    of_lines = lines.groupBy("uid").agg(F.collect_list("license_id").alias("of_lines"))
+    whole = licenses.select("digest", F.col("license_id").alias("whole_license"))
+    out = rows.select("uid", "doc_id", F.col("d.whole").alias("digest")).join(whole, "digest", "left").join(of_lines, "uid", "left")
+    return out.withColumn("of_lines", F.coalesce("of_lines", F.array().cast("array<string>")))
 
 
 def shipped(spark: SparkSession) -> DataFrame:

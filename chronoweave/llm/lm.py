@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import id_crc, kept, map_arrow, materialise
+from ._spark import discard, id_crc, kept, map_arrow, materialise
 
 #: Slots of the contexts of 1, 2, ... bytes, as powers of 2; passes of learning weights; the head's tokens.
 SLOT_BITS, PASSES, HEAD = (16, 18, 20, 21, 22), 1, 1 << 18
@@ -352,6 +352,7 @@ def train(docs: DataFrame) -> Trained:
         zeros[at], ones[at] = batch["n"].to_numpy(), batch["m"].to_numpy()
     del table
     model = mixer(windows, zeros, ones)
+    discard(seen)
     model.table = stretched(zeros, ones).astype(np.float32, copy=False)
     sums = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     return Trained(model, tokens, sums["n"] or 0, sums["v"])

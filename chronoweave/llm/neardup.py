@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import hex_id, map_arrow, materialise
+from ._spark import discard, hex_id, map_arrow, materialise
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Distinct fingerprints of one bucket that are compared inside one task (256 KB).
@@ -185,13 +185,15 @@ def components(edges: DataFrame) -> DataFrame:
         ranked = lambda c, n=len(maps): F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("x"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         points = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select(F.col("a").alias("node"), F.least(ranked("a"), "m")["x"].alias("to"))
-        for _ in range(2):
-            points = materialise(points, "points")
-            points = points.join(points.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to"))
         points = materialise(points, "points")
+        for _ in range(2):
+            long = points
+            points = materialise(long.join(long.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")), "points")
+            discard(long)
         maps.append(points)
         moved = edges.join(points.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(points.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
-        edges = materialise(moved.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        last, edges = edges, materialise(moved.filter("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        discard(last)
     if not maps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = maps[-1]
