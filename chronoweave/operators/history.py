@@ -31,9 +31,22 @@ def chronological() -> list[Column]:
     return [F.col("ts").asc_nulls_last(), F.col("ts_raw").asc(), F.col("event_idx").asc()]
 
 
+def _by_days(ends: DataFrame, inside: Column) -> DataFrame:
+    """``inside`` (a rank over an entity's day) plus the entity's events on days before, as ``pos``.
+
+    Ranks run inside days and days are summed up, so that no task sorts all events
+    of a busy entity. Unknown times come last.
+    """
+    daily = ends.groupBy("entity", "day").agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy("entity").orderBy(F.col("day").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.select(F.col("entity").alias("e_"), F.col("day").alias("d_"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before_"))
+    rows = ends.withColumn("inside_", inside).join(daily, (F.col("entity") == F.col("e_")) & F.col("day").eqNullSafe(F.col("d_")))
+    return rows.withColumn("pos", F.col("before_") + F.col("inside_")).drop("e_", "d_", "before_", "inside_")
+
+
 def entity_history(ends: DataFrame) -> DataFrame:
     """Every entity's events in time order (``pos`` from 1)."""
-    return ends.withColumn("pos", F.row_number().over(Window.partitionBy("entity").orderBy(*chronological())))
+    return _by_days(ends, F.row_number().over(Window.partitionBy("entity", "day").orderBy(*chronological())))
 
 
 def with_settings(queries: DataFrame, s: Settings = DEFAULT) -> DataFrame:
@@ -151,5 +164,5 @@ def filter_scored(rows: DataFrame, alpha: float = DEFAULT.alpha, query_time: str
 
 def prior_contexts(ends: DataFrame) -> DataFrame:
     """For each event and endpoint, how many of the entity's events are strictly earlier (known times only)."""
-    known = Window.partitionBy("entity").orderBy("ts")
-    return ends.filter("ts is not null").withColumn("contexts", F.rank().over(known).cast("long") - 1)
+    earlier = F.rank().over(Window.partitionBy("entity", "day").orderBy("ts")).cast("long") - 1
+    return _by_days(ends.filter("ts is not null"), earlier).withColumnRenamed("pos", "contexts")

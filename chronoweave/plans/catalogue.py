@@ -236,12 +236,16 @@ def _(spark, d):
 
 
 _TEXTS = ["make statement", "Visit", "meet", "express approval of", "carry out", "try", "play music", "stop", "fix", "agree", "withdraw from", "  praise   loudly ", "discuss", "plan for", "enjoy", "hold talks", "lie", "go", "obey"]
-_VALUES = "r(relation) AS (VALUES " + ", ".join(f"({sql._q(t)})" for t in _TEXTS) + ")"
+_VALUES = "v(relation) AS (VALUES " + ", ".join(f"({sql._q(t)})" for t in _TEXTS) + "), r AS (SELECT relation FROM v UNION SELECT p_type || ' ' || p_name FROM part UNION SELECT event_type FROM events)"
 
 
 @_case("relation_phrase", with_(_VALUES) + f"SELECT relation, {sql.phrase('relation')} AS phrase FROM r")
 def _(spark, d):
-    return spark.createDataFrame([(t,) for t in _TEXTS], "relation string").withColumn("phrase", scalar.phrase(F.col("relation")))
+    """Phrases of relations that try the rules, of all parts' types and names, and of all kinds of events."""
+    parts = spark.read.parquet(f"{d}/part.parquet").select(F.concat_ws(" ", "p_type", "p_name").alias("relation"))
+    kinds = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("relation"))
+    rows = spark.createDataFrame([(t,) for t in _TEXTS], "relation string").union(parts).union(kinds).distinct()
+    return rows.withColumn("phrase", scalar.phrase(F.col("relation")))
 
 
 @_case("verbalize", with_(ACTIVITY, sql.SAID) + f"SELECT event_idx, {sql.sentence()} AS sentence FROM quads JOIN ph USING (relation)")

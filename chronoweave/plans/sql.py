@@ -8,7 +8,7 @@ from ..functions.phrases import IRREGULAR, PHRASES, PREPOSITIONS
 
 ACTIVITY = """quads AS (SELECT event_id AS event_idx, 'user_' || user_id AS subject, event_type AS relation, lower(trim(event_type)) AS relation_norm,
  'item_' || json_extract_string(props, '$.k') AS object, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts_raw, ts, CAST(ts AS DATE) AS day FROM events)"""
-_SHIPPED = """shipped AS (SELECT (l_orderkey * 10 + l_linenumber) * 100 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS event_idx,
+_SHIPPED = """shipped AS (SELECT (l_orderkey * 10 + l_linenumber) * 10000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) AS event_idx,
  l_suppkey, l_shipdate, l_returnflag || l_linestatus AS flags, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 _AS_QUADS = """CAST(event_idx AS BIGINT) AS event_idx, {s} AS subject, flags AS relation, lower(trim(flags)) AS relation_norm, 'cust_' || o_custkey AS object,
  strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S.%f') AS ts_raw, l_shipdate AS ts, CAST(l_shipdate AS DATE) AS day"""

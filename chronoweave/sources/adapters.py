@@ -25,11 +25,11 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitems with their customer and a number that is unique, made inside each order line."""
+    """Lineitems with their customer and a number that is unique, made inside each order line (of up to 9,999 rows)."""
     li = _table(spark, sf_dir, "lineitem")
     o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
-    li = li.withColumn("event_idx", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.row_number().over(w))
+    li = li.withColumn("event_idx", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 10_000 + F.row_number().over(w))
     return li.select("event_idx", "l_orderkey", "l_suppkey", "l_shipdate", F.concat("l_returnflag", "l_linestatus").alias("flags")).join(o, "l_orderkey")
 
 

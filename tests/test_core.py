@@ -202,3 +202,15 @@ def test_streaming_last_events(spark, tmp_path):
     q = last_events(stream, 3).writeStream.format("memory").queryName("recent").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["event_idx"] for r in spark.table("recent").collect()) == [3, 4, 5]
+
+
+def test_streaming_counts(spark, tmp_path):
+    from chronoweave.streaming.recent import counts
+
+    rows = [("a", "2024-01-01 00:00:01"), ("a", "2024-01-01 23:00:00"), ("b", "2024-01-01 12:00:00"), ("a", "2024-01-02 00:00:00"), ("a", "2024-01-09 00:00:00")]
+    spark.createDataFrame(rows, "relation string, t string").select("relation", F.col("t").cast("timestamp").alias("ts")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("relation string, ts timestamp").parquet(str(tmp_path / "in"))
+    q = counts(stream).writeStream.format("memory").queryName("counted").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((str(r["window"]["start"])[:10], r["relation"], r["n"]) for r in spark.table("counted").collect())
+    assert got == [("2024-01-01", "a", 2), ("2024-01-01", "b", 1), ("2024-01-02", "a", 1), ("2024-01-09", "a", 1)]
