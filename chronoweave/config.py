@@ -83,5 +83,6 @@ class Settings:
 
 
 DEFAULT = Settings()
-INTERACTIVE = replace(DEFAULT, day_cap=40, adaptive=True)
-FAST = replace(DEFAULT, short=10, total=40, day_cap=15, event_cap=32, chunk=12)
+INTERACTIVE = replace(DEFAULT, day_cap=40, adaptive=True, chunk=24, label_scores=False)
+METRICS = replace(INTERACTIVE, day_cap=10, event_cap=32, chunk=16)
+FAST = replace(DEFAULT, short=10, total=40, day_cap=15, event_cap=32, chunk=12, label_scores=False)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions.answers import answer
-from ..functions.scalar import hash_score, softmax_of
+from ..functions.scalar import hash_score, let, softmax_of
 from . import candidates as cand
 from . import prompts
 from .history import day_groups, dual_history, history_before, scored_events, with_settings
@@ -19,8 +19,8 @@ from .similar import similar_events
 
 
 def hashed_labels(prompt: Column, candidates: Column) -> Column:
-    """Deterministic scores of candidates under a prompt."""
-    return F.transform(candidates, lambda c: hash_score(F.concat(prompt, F.lit("|"), c)))
+    """Deterministic scores of candidates under a prompt, which is read once."""
+    return let(F.sha2(prompt, 256), lambda read: F.transform(candidates, lambda c: hash_score(F.concat(read, F.lit("|"), c))))
 
 
 def hashed_answer(prompt: Column) -> Column:

@@ -119,7 +119,7 @@ def analogies() -> tuple[str, ...]:
 
 def labels(source: str = "pr") -> str:
     """Ranks (``rk``) by label scores of whole prompts."""
-    return f"""sc AS (SELECT query_id, c AS candidate, {hashed("prompt || '|' || c")} / 4294967295.0::DOUBLE * 2 - 1 AS score FROM {source}, unnest(cs) t(c)),
+    return f"""sc AS (SELECT query_id, c AS candidate, {hashed("read || '|' || c")} / 4294967295.0::DOUBLE * 2 - 1 AS score FROM (SELECT *, sha256(prompt) AS read FROM {source}), unnest(cs) t(c)),
 sx AS (SELECT *, exp(score - max(score) OVER (PARTITION BY query_id)) AS ex FROM sc),
 sp AS (SELECT *, ex / sum(ex) OVER (PARTITION BY query_id) AS prob FROM sx),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY prob DESC, candidate) AS rank FROM sp)"""

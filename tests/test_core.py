@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from chronoweave import config
 from chronoweave.config import Settings, filter_mode, label_scores, numbers, truthy
 from chronoweave.functions import scalar
 from chronoweave.functions.answers import answer
@@ -107,6 +108,19 @@ def test_settings_from_an_environment():
     assert label_scores({}) and not label_scores({"USE_LOGPROB_PREDICTION": "0"}) and numbers("1, 2,", ()) == (1, 2) and numbers(" ", (3,)) == (3,)
 
 
+def test_presets():
+    assert config.INTERACTIVE.least_history == 40 and config.METRICS.least_history == 25 and config.FAST.least_history == 17 and config.DEFAULT.least_history == 100
+    assert (config.METRICS.event_cap, config.METRICS.chunk, config.FAST.total) == (32, 16, 40) and config.DEFAULT.label_scores and not config.FAST.label_scores
+
+
+def test_number_of_clusters(spark):
+    """The elbow is the point farthest from the chord; three groups far apart are found as three."""
+    assert clusters.elbow([2, 3, 4, 5, 6], [100.0, 20.0, 15.0, 10.0, 5.0]) == 3
+    rows = [(f"e{g}_{i}", [float(g == k) + 0.01 * ((i * 7 + k) % 5) for k in range(3)]) for g in range(3) for i in range(20)]
+    k, tried = clusters.optimal_k(spark.createDataFrame(rows, "entity string, features array<float>"), restarts=2)
+    assert k == 3 and [t[0] for t in tried] == list(range(2, 8)) and {t[0] for t in tried if t[2] is not None} == {2, 3, 4, 5}
+
+
 def test_templates_and_generator(spark, tmp_path):
     (tmp_path / "answer.txt").write_text("{query}|{candidates}|{history}|{analogies}")
     (tmp_path / "other.txt").write_text("not ours")
