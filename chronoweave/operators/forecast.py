@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Settings
 from ..functions.answers import answer
 from ..functions.scalar import hash_score, let, softmax_of
+from ..sources.files import settled
 from . import candidates as cand
 from . import prompts
 from .history import day_groups, dual_history, history_before, scored_events, with_settings
@@ -137,13 +138,17 @@ def infer(context: DataFrame, s: Settings = DEFAULT, models: Models = Models())
 
 
 def predict(queries: DataFrame, ends: DataFrame, entities: DataFrame | None = None, s: Settings = DEFAULT, models: Models = Models(), templates: prompts.Templates = prompts.Templates()) -> DataFrame:
-    """``infer`` over all questions' contexts; those below the confidence asked for are answered again from second-order candidates."""
+    """``infer`` over all questions' contexts; those below the confidence asked for are answered again from second-order candidates.
+
+    With a confidence to reach, first answers are written before the unsure ones are asked again: no model is asked twice.
+    """
     first = infer(contexts(queries, ends, entities, s, models, templates), s, models)
     if s.confidence <= 0 or s.second_order:
         return first
+    first = settled(first, "answers")
     top = F.coalesce(F.array_max("probs"), F.lit(0.0))
     unsure = first.filter((top < s.confidence) & ~F.col("second"))
-    again = contexts(queries.join(unsure.select("query_id"), "query_id", "left_semi"), ends, entities, replace(s, second_order=True), models, templates)
+    again = contexts(settled(queries.join(unsure.select("query_id"), "query_id", "left_semi"), "unsure"), ends, entities, replace(s, second_order=True), models, templates)
     return first.filter(~((top < s.confidence) & ~F.col("second"))).unionByName(infer(again, s, models))
 
 

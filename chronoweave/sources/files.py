@@ -46,6 +46,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, for plans that ask for it more than once."""
+    path = f"{scratch(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text as one file."""
     fs, p = _fs(spark, path)
