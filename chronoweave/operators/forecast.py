@@ -14,7 +14,7 @@ from ..functions.answers import answer
 from ..functions.scalar import hash_score, let, softmax_of
 from ..sources.files import settled
 from . import candidates as cand
-from . import prompts
+from . import clusters, evaluate, prompts
 from .history import day_groups, dual_history, history_before, scored_events, with_settings
 from .similar import similar_events
 
@@ -164,11 +164,20 @@ def retrieved(queries: DataFrame, ends: DataFrame, s: Settings = DEFAULT, models
     return day_groups(history_before(with_settings(queries, s), ends), models.scorer, s.chunk if models.chunked else 0, models.like)
 
 
-def evaluated(quads: DataFrame, queries: DataFrame, ends: DataFrame, entities: DataFrame | None = None, s: Settings = DEFAULT, models: Models = Models(), start: int = 0, n: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Prediction records and rates of a window of questions: the whole run in one plan."""
-    from . import evaluate
+def clustered(ends: DataFrame, queries: DataFrame, sample: int = 500, k: int | None = None, encode=clusters.embed, seed: int = 42) -> DataFrame:
+    """Clusters of a sample of the entities and of all that the questions ask about."""
+    names = clusters.sampled(clusters.entity_list(ends), sample, queries.select(F.col("sq").alias("entity")).distinct(), seed)
+    return clusters.cluster_entities(names, k=k, encode=encode, seed=seed, restarts=1).entities
 
+
+def evaluated(quads: DataFrame, queries: DataFrame, ends: DataFrame, entities: DataFrame | None = None, s: Settings = DEFAULT, models: Models = Models(), start: int = 0, n: int = 0, sample: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Prediction records and rates of a window of questions: the whole run in one plan.
+
+    Without ``entities``, ``sample`` of them are clustered first, once for all questions (0: no analogies).
+    """
     asked = evaluate.window(queries, start, n)
+    if entities is None and sample:
+        entities = clustered(ends, asked, sample)
     ranked = ranks(predict(asked, ends, entities, s, models))
     return evaluate.records(ranked, asked, s.filter), evaluate.metrics(ranked, asked, quads, s.filter)
 

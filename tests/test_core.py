@@ -132,6 +132,16 @@ def test_templates_and_generator(spark, tmp_path):
     assert rows and all(r["prompt"].startswith(r["question"] + "|1. ") for r in rows) and any("Because: " in r["prompt"] for r in rows)
 
 
+def test_a_whole_run_clusters_once(spark):
+    s = Settings(analogies=1, min_contexts=5, min_history=0)
+    w = catalogue.World(spark, SF, settings=s)
+    records, rates = forecast.evaluated(w.quads, w.queries, w.ends, s=s, start=2, n=6, sample=20)
+    row = rates.first()
+    assert row["evaluated"] + row["skipped"] == 6 == records.count()
+    some = forecast.clustered(w.ends, w.queries, 20, k=3)
+    assert some.join(w.queries, some["entity"] == w.queries["sq"]).count() == w.queries.count() and some.select("cluster").distinct().count() <= 3
+
+
 def test_scorers_that_say_too_little_fail(spark):
     w = catalogue.World(spark, SF)
     models = forecast.Models(scorer=forecast.chunk_scorer(lambda prompt, events: [1.0] * (len(events) - 1)), chunked=True)
