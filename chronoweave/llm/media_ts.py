@@ -100,7 +100,7 @@ class Stream:
     packets: int
     continuity_errors: int
     payload: bytes
-    pts: list[int]
+    pts: list[int | None]
     random_access: list[int]  # packet numbers
 
 
@@ -125,51 +125,64 @@ def _section_of(payload: bytes) -> bytes:
 
 
 def demux(stream: bytes) -> Stream:
-    """Parse a transport stream with one program of one elementary stream."""
+    """Parse a transport stream: the first program's first elementary stream.
+
+    Packets without payload don't count on; a packet that comes twice counts once;
+    a jump of the counter is an error unless the packet announces it. An elementary
+    packet without a length goes on to the next one, one without a time has none (null).
+    """
     if not stream or len(stream) % PACKET:
         raise ValueError("not whole transport packets")
     grid = np.frombuffer(stream, np.uint8).reshape(-1, PACKET)
     if (grid[:, 0] != 0x47).any():
         raise ValueError("lost synchronisation")
     pids = (grid[:, 1].astype(np.int32) & 0x1F) << 8 | grid[:, 2]
-    extra = (grid[:, 3] & 0x20) != 0
+    extra, filled = (grid[:, 3] & 0x20) != 0, (grid[:, 3] & 0x10) != 0
     begins = np.where(extra, 5 + grid[:, 4].astype(np.int32), 4)
+    flags = np.where(extra & (grid[:, 4] > 0), grid[:, 5], 0)
 
-    def payload_of(row: int) -> bytes:
-        return grid[row, begins[row] :].tobytes()
-
-    def only(rows: np.ndarray, what: str) -> int:
+    def section(pid: int, what: str) -> bytes:
+        rows = np.flatnonzero((pids == pid) & filled & ((grid[:, 1] & 0x40) != 0))
         if not len(rows):
             raise ValueError(f"no {what}")
-        return int(rows[0])
-
-    pat = _section_of(payload_of(only(np.flatnonzero(pids == 0), "program association table")))
-    program, pmt_pid = struct.unpack(">HH", pat[8:12])
-    pmt_pid &= 0x1FFF
-    pmt = _section_of(payload_of(only(np.flatnonzero(pids == pmt_pid), "program map table")))
+        return _section_of(grid[rows[0], begins[rows[0]] :].tobytes())
+
+    pat = section(0, "program association table")
+    programs = [struct.unpack(">HH", pat[i : i + 4]) for i in range(8, len(pat) - 4, 4)]
+    program, pmt_pid = next(((n, pid & 0x1FFF) for n, pid in programs if n), (0, 0))  # program 0 is the network's table
+    if not program:
+        raise ValueError("no program")
+    pmt = section(pmt_pid, "program map table")
     at = 12 + ((pmt[10] & 0x0F) << 8 | pmt[11])
     stream_type, es_pid = pmt[at], (pmt[at + 1] & 0x1F) << 8 | pmt[at + 2]
 
-    errors = 0
+    errors, rows = 0, np.zeros(0, np.int64)
     for pid in (0, pmt_pid, es_pid):
-        counters = grid[pids == pid, 3] & 0x0F
-        errors += int(((counters[1:] - counters[:-1]) & 0x0F != 1).sum())
+        rows = np.flatnonzero((pids == pid) & filled)
+        step = (grid[rows[1:], 3] - grid[rows[:-1], 3]) & 0x0F
+        twice = np.zeros(len(step), bool)
+        for i in np.flatnonzero(step == 0).tolist():
+            twice[i] = np.array_equal(grid[rows[i], begins[rows[i]] :], grid[rows[i + 1], begins[rows[i + 1]] :])
+        errors += int(((step != 1) & ~twice & ((flags[rows[1:]] & 0x80) == 0)).sum())
+        rows = rows[np.concatenate([[True], ~twice])] if len(rows) else rows
 
-    rows = np.flatnonzero(pids == es_pid)
     es, begin = grid[rows], begins[rows]
     opens = (es[:, 1] & 0x40) != 0
-    access = rows[extra[rows] & (es[:, 4] > 0) & ((es[:, 5] & 0x40) != 0)]
+    access = rows[(flags[rows] & 0x40) != 0]
     joined = es[np.arange(PACKET) >= begin[:, None]].tobytes()
     ends = np.cumsum(PACKET - begin)
-    heads = np.concatenate([[0], ends[:-1]])[opens]
+    heads = np.concatenate([[0], ends[:-1]])[opens].tolist() if len(rows) else []
     parts, times = [], []
-    for h in heads.tolist():
+    for h, after in zip(heads, [*heads[1:], len(joined)], strict=True):
         if joined[h : h + 3] != b"\0\0\1":
             raise ValueError("no elementary packet where one should start")
         size = struct.unpack(">H", joined[h + 4 : h + 6])[0]
-        a, b, c, d, e = joined[h + 9 : h + 14]
-        times.append((a >> 1 & 7) << 30 | b << 22 | (c >> 1) << 15 | d << 7 | e >> 1)
-        parts.append(joined[h + 9 + joined[h + 8] : h + 6 + size])
+        if joined[h + 7] & 0x80:
+            a, b, c, d, e = joined[h + 9 : h + 14]
+            times.append((a >> 1 & 7) << 30 | b << 22 | (c >> 1) << 15 | d << 7 | e >> 1)
+        else:
+            times.append(None)
+        parts.append(joined[h + 9 + joined[h + 8] : h + 6 + size if size else after])
     return Stream(program, pmt_pid, es_pid, stream_type, len(grid), errors, b"".join(parts), times, access.tolist())
 
 
