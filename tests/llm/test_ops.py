@@ -56,6 +56,18 @@ def test_awkward_rows_and_empty_table(awkward, name):
     assert OPS[name](awkward.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", OPS)
+def test_very_long_texts(spark, name):
+    """A text of a million code points, with copies, beside short ones; equal texts get equal results."""
+    rng = np.random.default_rng(1)
+    long = " ".join(f"wörd{i}" for i in rng.integers(0, 10**6, 100_000).tolist())
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, "short one here", "de", "b"), (3, long, "en", "a"), (4, long + " and an end", "en", "c")], "doc_id long, text string, lang string, source string")
+    rows = {(r["doc_id"], r.asDict().get("piece", 0)): r.asDict() for r in OPS[name](df).collect()}
+    assert {k for k, _ in rows} == {1, 2, 3, 4}
+    alike = {"op1": "fingerprint", "op2": "score", "op3": "spans", "op4": "size", "op5": "score", "op6": "score", "op7": "media_sha256", "op8": "digest", "op9": "ids_crc32", "op10": "fingerprint"}[name]
+    assert all(rows[1, n][alike] == rows[3, n][alike] for k, n in rows if k == 1)
+
+
 def test_fingerprints(docs, texts):
     got = {r["doc_id"]: r for r in fingerprints.op1_fingerprint(docs).collect()}
     ids = sorted(texts)
@@ -499,6 +511,55 @@ def test_transport_streams(texts):
     assert media_ts.demux(stored[:940] + stored[1128:]).continuity_errors == 1
 
 
+def test_transport_streams_of_another_writer():
+    """A stream put together by hand from the standard's fields: other numbers, a network table, stuffing, lost and repeated packets."""
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for byte in data:
+            for k in range(7, -1, -1):
+                c = (c << 1 & 0xFFFFFFFF) ^ (0x04C11DB7 if (c >> 31) ^ (byte >> k & 1) else 0)
+        return c.to_bytes(4, "big")
+
+    def table(kind, number, body):
+        head = bytes([kind, 0xB0, len(body) + 9]) + number.to_bytes(2, "big") + b"\xc1\0\0" + body
+        return head + crc(head)
+
+    def packet(pid, counter, payload, start=False, adaptation=None):
+        out = bytes([0x47, 0x40 * start | pid >> 8, pid & 255])
+        room = 184 - len(payload)
+        if adaptation is None and not room:
+            return out + bytes([0x10 | counter]) + payload
+        field = (adaptation or b"\0" if room > 1 else b"")
+        field += b"\xff" * (room - 1 - len(field))
+        return out + bytes([(0x30 if payload else 0x20) | counter, len(field)]) + field + payload
+
+    def pes(data, pts=None, unbounded=False):
+        stamp = b"" if pts is None else bytes([0x31 | (pts >> 30 & 7) << 1, pts >> 22 & 255, 1 | (pts >> 15 & 127) << 1, pts >> 7 & 255, 1 | (pts & 127) << 1])
+        extra = b"" if pts is None else bytes([0x11, 0, 1, 0, 1])  # a decoding time too
+        body = bytes([0x80, 0xC0 if stamp else 0, len(stamp + extra) + 2]) + stamp + extra + b"\xff\xff" + data
+        return b"\0\0\1\xe0" + (0 if unbounded else len(body)).to_bytes(2, "big") + body
+
+    pat = table(0, 9, b"\0\0\xe0\x10" + (7).to_bytes(2, "big") + (0xE000 | 0x55).to_bytes(2, "big"))
+    pmt = table(2, 7, (0xE000 | 0x66).to_bytes(2, "big") + b"\xf0\x03\x05\x01\x41" + b"\x1b" + (0xE000 | 0x66).to_bytes(2, "big") + b"\xf0\x00" + b"\x0f\xe0\x67\xf0\0")
+    one, two = bytes(range(200)) + b"\0\0\1tail", b"second" * 50
+    first, second = pes(one, 2**33 - 5), pes(two, unbounded=True)
+    cut = lambda data: [data[i : i + 150] for i in range(0, len(data), 150)]
+    es, counter = [], 13
+    for data, access in ((first, True), (second, False)):
+        for n, part in enumerate(cut(data)):
+            es.append(packet(0x66, counter, part, n == 0, b"\x40" if access and n == 0 else None))
+            counter = (counter + 1) % 16
+    idle = packet(0x66, 14, b"")
+    tables = [packet(0, 3, b"\x02xx" + pat, True), packet(0x55, 8, b"\0" + pmt, True)]
+    got = media_ts.demux(b"".join([packet(0x1FFF, 0, b"z" * 184), *tables, es[0], idle, es[1], es[1], *es[2:]]))
+    assert (got.program, got.pmt_pid, got.es_pid, got.stream_type, got.continuity_errors) == (7, 0x55, 0x66, 0x1B, 0)
+    assert got.payload == one + two and got.pts == [2**33 - 5, None] and got.random_access == [3]
+    assert media_ts.demux(b"".join([*tables, es[0], *es[2:]])).continuity_errors == 1
+    with pytest.raises(ValueError):
+        media_ts.demux(b"".join(tables).replace(b"\x41", b"\x42"))
+
+
 def test_licenses(spark, docs):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
@@ -672,6 +733,58 @@ def test_pipeline(spark, awkward, docs):
         assert empty.count() == 0
 
 
+def test_a_large_group_of_edited_copies_takes_few_pairs(spark, monkeypatch):
+    """Copies with random edits, of which many pairs are just below 0.8, find their classes without all pairs being verified."""
+    import corpus_pipeline
+    from chronoweave.llm import alike
+
+    asked = []
+    keep = alike.verified
+    monkeypatch.setattr(alike, "verified", lambda pairs, texts: asked.append(pairs.count()) or keep(pairs, texts))
+    rng = np.random.default_rng(12)
+    base, texts = [f"w{w}" for w in rng.integers(0, 5000, 150)], []
+    for _ in range(300):
+        words = list(base)
+        for k in rng.integers(0, 150, int(rng.integers(0, 5))):
+            words[k] = f"x{rng.integers(0, 10**6)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if label[i] != label[j] and len(a & b) >= 0.8 * len(a | b):
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {}
+    for i, x in enumerate(label):
+        least.setdefault(x, i)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
+    assert got == sorted(least.values()) and len(got) < 60 and sum(asked) < 300 * 299 / 2 / 4
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    """All pairs of alike sets are proposed, and a passage that all texts share proposes few others."""
+    from chronoweave.llm import alike
+
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{i}" for i in range(100))
+    texts = [f"{passage} " + " ".join(f"w{w}" for w in rng.integers(0, 10**6, 90)) for _ in range(80)]
+    for t in texts[:20]:
+        words = t.split()
+        words[int(rng.integers(100, 190))] = "edited"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    members = spark.createDataFrame([(i, i, len(s)) for i, s in enumerate(sets)], "id long, root long, size long")
+    rare, central = alike.rare_shingles(members, df)
+    got = {(r["a"], r["b"]) for r in alike.pairs_by_rare_shingles(members.select("id", "root"), rare).collect()}
+    many = collections.Counter(x for s in sets for x in s)
+    own = {r["id"]: r["own"] for r in central.collect()}
+    assert all(own[i] in (sum(many[x] == 1 for x in s), len(s)) for i, s in enumerate(sets))
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) == 20 and want <= got and len(got) < 60
+
+
 def test_columns_of_any_name(spark):
     """Extra columns named like the operators' own, or with a dot, come out as they went in."""
     import corpus_pipeline
@@ -686,10 +799,13 @@ def test_columns_of_any_name(spark):
     assert mixing.mix(df).columns == [*df.columns, "mix_shard_"]
 
 
-def test_pipeline_near_duplicates(spark):
+@pytest.mark.parametrize("few", [0, 16])
+def test_pipeline_near_duplicates(spark, monkeypatch, few):
     """One row of each class at a Jaccard similarity of 0.8 or more of five-word shingles, by brute force."""
     import corpus_pipeline
+    from chronoweave.llm import alike
 
+    monkeypatch.setattr(alike, "FEW", few)
     rng = np.random.default_rng(11)
     texts = ["", "  ", "one", "One ", "one two"]
     for length in rng.integers(30, 300, 40):
