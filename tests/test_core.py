@@ -304,3 +304,38 @@ def test_own_histories_are_asked_in_order_until_one_is_long_enough(spark, monkey
     pairs = spark.createDataFrame([("B", "r")], "subject string, relation_norm string")
     got = similar.earliest(pairs, history.endpoints(q), s).collect()
     assert [r["event_idx"] for r in got] == [6] and tried == [1]
+
+
+def test_second_order_by_tiles_against_all_pairs(spark, monkeypatch):
+    """Many tiles, long and short neighbourhoods, self-loops, repeats and names that collide under the first seed."""
+    import numpy as np
+
+    from chronoweave.operators import reach
+
+    rng = np.random.default_rng(3)
+    events = [(f"s{rng.integers(0, 25)}", "r", f"o{int(rng.integers(0, 200) ** 2 / 200)}" if k % 3 else f"s{rng.integers(0, 25)}", "2014-01-01") for k in range(400)]
+    ends = history.endpoints(quads(spark, [*events, ("s1", "r", "s1", "2014-01-01")]))
+    rows = [(k, f"s{k}", "r", "r", "2015-01-01") for k in range(25)]
+    ask = spark.createDataFrame(rows, "query_id long, sq string, rq string, rq_norm string, tq_raw string").withColumn("tq", scalar.parse_time(F.col("tq_raw")))
+    near: dict[str, set] = {}
+    for s, _, o, _ in [*events, ("s1", "r", "s1", "")]:
+        near.setdefault(s, set()).add(o)
+        near.setdefault(o, set()).add(s)
+    want = {k: near.get(s, set()) | {x for c in near.get(s, set()) for x in near[c] if x != s} for k, s, *_ in rows}
+    want = {k: sorted(v) for k, v in want.items() if v}
+    monkeypatch.setattr(reach, "NAMES", 40)
+    monkeypatch.setattr(reach, "BLOCK", 7)
+    monkeypatch.setattr(reach, "CHUNK", 5)
+    key = reach._key
+    monkeypatch.setattr(reach, "_key", lambda name, seed: F.length(name).cast("long") if not seed else key(name, seed))
+    one = candidates.first_order(ask, ends)
+    got = candidates.second_order(ask, one, ends)
+    assert "Join" not in got.select("candidate")._jdf.queryExecution().executedPlan().toString()
+    found: dict[int, list] = {}
+    for r in got.collect():
+        found.setdefault(r["query_id"], []).append(r["candidate"])
+    assert {k: sorted(v) for k, v in found.items()} == want
+    sizes = {r["query_id"]: (r["n"], r["first_c"], r["last_c"]) for r in candidates.second_order_sizes(ask, one, ends).collect()}
+    assert sizes == {k: (len(v), v[0], v[-1]) for k, v in want.items()}
+    adapted = {(r["query_id"], r["second"]): r["n"] for r in candidates.adaptive_sizes(ask, one, ends, 12).collect()}
+    assert adapted == {(r["query_id"], r["second"]): r["n"] for r in candidates.adaptive(ask, one, ends, 12).groupBy("query_id", "second").agg(F.count("*").alias("n")).collect()}
