@@ -339,3 +339,15 @@ def test_second_order_by_tiles_against_all_pairs(spark, monkeypatch):
     assert sizes == {k: (len(v), v[0], v[-1]) for k, v in want.items()}
     adapted = {(r["query_id"], r["second"]): r["n"] for r in candidates.adaptive_sizes(ask, one, ends, 12).collect()}
     assert adapted == {(r["query_id"], r["second"]): r["n"] for r in candidates.adaptive(ask, one, ends, 12).groupBy("query_id", "second").agg(F.count("*").alias("n")).collect()}
+
+
+def test_best_answer_from_lists_makes_no_rows_of_candidates(spark):
+    from chronoweave.operators import predict, reach
+
+    q = quads(spark, [("A", "r", f"o{i}", "2014-01-01") for i in range(3)] + [(f"B{i}", "r", f"o{i % 3}", "2014-01-01") for i in range(40)])
+    ends, s = history.endpoints(q), Settings(confidence=0.9)
+    ask = asked(spark, ("A", "r"), "2014-02-01", s)
+    lists = reach.lists(ask, candidates.first_order(ask, ends), candidates.hops(ends), ("sq", "rq", "tq_raw"))
+    got, want = predict.best_of_lists(lists).first(), predict.predictions(predict.forecast(ask, ends, s)).first()
+    assert got["candidate"] == want["predicted"] and abs(got["prob"] - want["prob"]) < 1e-12
+    assert "explode" not in predict.best(ask, ends, s)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
