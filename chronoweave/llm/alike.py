@@ -2,9 +2,11 @@
 
 Two texts are linked if the Jaccard similarity of their sets of SHINGLE-word
 shingles is FIFTHS fifths (0.8) or more; classes are the components of the links. Pairs are
-proposed by least shingle hashes in BANDS bands of ROWS each (a pair at exactly
-0.8 meets in none with a chance of 3 in a million, a nearer one with less) and
-verified on their whole shingle sets (64-bit hashes), so that nothing else is linked.
+proposed by operator 10's covering LSH over SimHash fingerprints of these shingles (all that
+differ in up to 3 bits), and as most pairs at 0.8 differ in more, by least shingle hashes
+in BANDS bands of ROWS each too (a pair at exactly 0.8 meets in none with a chance of 3 in
+a million, a nearer one with less). All are verified on their whole shingle sets
+(64-bit hashes), so that nothing else is linked.
 
 A bucket's members are first verified with its least one. Where they are not in
 one class after that, those of a bucket of up to FEW are verified with each other.
@@ -69,13 +71,24 @@ def bands(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return whole, keys
 
 
+def simhashes(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """SimHash fingerprints of each text's set: the bits set in over half of its shingles' hashes (0 if empty)."""
+    out = np.zeros(len(at) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(at))
+    if len(full):
+        bits = np.unpackbits(_text.mix(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        often = np.add.reduceat(bits, at[:-1][full], axis=0, dtype=np.int32)
+        out[full] = np.packbits(often * 2 > np.diff(at)[full, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in _text.chunks(batch.column(1), _CHUNK):
             hashes, at = shingle_sets(data, offsets)
             whole, keys = bands(hashes, at)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(whole.view(np.int64)), pa.array(np.diff(at)), lists], names=["id", "whole", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(whole.view(np.int64)), pa.array(np.diff(at)), pa.array(simhashes(hashes, at).view(np.int64)), lists], names=["id", "whole", "size", "fp", "keys"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +188,16 @@ def links_by_hubs(members: DataFrame, texts: DataFrame) -> tuple[list[DataFrame]
     return found, tried, members
 
 
+def pairs_by_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b) of ``nodes`` (id, fp) that connect all whose fingerprints are chained by differences of up to 3 bits (covering LSH)."""
+    hubs = materialise(nodes.groupBy("fp").agg(F.min("id").alias("hub")), "fingerprints")
+    equal = nodes.join(hubs, "fp").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    near = neardup.links(hubs.select("fp"))
+    of = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"h{c}"))
+    near = near.join(of("a"), "a").join(of("b"), "b").select(F.greatest("ha", "hb").alias("a"), F.least("ha", "hb").alias("b"))
+    return equal.unionByName(near)
+
+
 def asked_for(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """``id, text`` of the ids (and of a few more, by chance); only such texts travel."""
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(_PLACES)).cast("int").alias("place")
@@ -201,13 +224,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def firsts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id`` of the first (least) row of each class; ids are distinct longs."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketches = materialise(map_arrow(texts, _sketch, "id long, whole long, size long, keys array<long>"), "sketches")
+    sketches = materialise(map_arrow(texts, _sketch, "id long, whole long, size long, fp long, keys array<long>"), "sketches")
     least = sketches.groupBy("whole", "size").agg(F.min("id").alias("id"))
-    nodes = materialise(sketches.select("id", "size", "keys").join(least.select("id"), "id", "left_semi"), "nodes")
+    nodes = materialise(sketches.select("id", "size", "fp", "keys").join(least.select("id"), "id", "left_semi"), "nodes")
     every = nodes.filter("size > 0").select("id", "size", F.explode("keys").alias("k"))
     shared = every.groupBy("k").agg(F.min("id").alias("hub"), F.count("*").alias("m")).filter("m > 1").select("k", "hub")
     buckets = materialise(every.join(shared, "k"), "buckets")
-    stars = materialise(buckets.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
+    stars = buckets.filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).unionByName(pairs_by_fingerprints(nodes.filter("size > 0")))
+    stars = materialise(stars.distinct(), "stars")
     links = verified(stars, texts)
     roots = neardup.components(links)
     members = buckets.join(roots.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "size", F.coalesce("root", "id").alias("root"))

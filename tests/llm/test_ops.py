@@ -829,3 +829,42 @@ def test_pipeline_near_duplicates(spark, monkeypatch, few):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, SF).collect())
     assert linked > 60 and got == sorted(least.values())
+
+
+def test_near_duplicates_meet_by_covering_lsh(spark, monkeypatch):
+    """Chains of fingerprints within 3 bits are connected, and nearly equal texts are found where no band proposes them."""
+    from chronoweave.llm import alike
+
+    rng = np.random.default_rng(11)
+    centres = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    fps = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for c in centres for k in (0, 1, 2, 3, 5)]
+    fps += fps[:4]
+    nodes = spark.createDataFrame([(k, f - 2**64 if f >= 2**63 else f) for k, f in enumerate(fps)], "id long, fp long")
+
+    def classes(edges):
+        root = list(range(len(fps)))
+        for a, b in edges:
+            ra, rb = root[a], root[b]
+            root = [min(ra, rb) if r in (ra, rb) else r for r in root]
+        return root
+
+    near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    got = [(r["a"], r["b"]) for r in alike.pairs_by_fingerprints(nodes).collect()]
+    assert classes(got) == classes(near) and set(got) <= set(near) and all(a > b for a, b in got)
+
+    words = [f"w{x}" for x in rng.integers(0, 5000, 600)]
+    texts = [" ".join(words), " ".join([*words[:-1], "last"]), " ".join(f"v{x}" for x in rng.integers(0, 5000, 600))]
+    assert (int(alike.simhashes(*_sets(texts[0]))[0]) ^ int(alike.simhashes(*_sets(texts[1]))[0])).bit_count() <= 3
+    plain = alike.bands
+    fresh = iter(range(10**9))
+    monkeypatch.setattr(alike, "BANDS", 1)
+    monkeypatch.setattr(alike, "bands", lambda hashes, at: (plain(hashes, at)[0], np.array([[next(fresh)] for _ in range(len(at) - 1)], np.uint64)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    assert sorted(r["id"] for r in alike.firsts(docs, "id", "text").collect()) == [0, 2]
+
+
+def _sets(text):
+    from chronoweave.llm import alike
+
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return alike.shingle_sets(raw, np.array([0, len(raw)]))
